@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .mixing import op2_mixing
+from .quality import op4_quality
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
     "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {}
