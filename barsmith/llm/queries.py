@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .language import op1_language
 from .mixing import op2_mixing
 from .quality import op4_quality
 from .simhash import op8_simhash
+from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {}
