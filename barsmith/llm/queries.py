@@ -8,6 +8,7 @@ from .mixing import op2_mixing
 from .quality import op4_quality
 from .simhash import op8_simhash
 from .toxicity import op6_toxicity
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_language": op1_language,
@@ -15,6 +16,9 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": OP7_SQL,
+}
