@@ -7,6 +7,7 @@ from .language import op1_language
 from .mixing import op2_mixing
 from .quality import op4_quality
 from .simhash import op8_simhash
+from .spotsigs import op5_spotsigs
 from .toxicity import op6_toxicity
 from .warc import OP7_SQL, op7_warc
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
+    "op5_spotsigs": op5_spotsigs,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
