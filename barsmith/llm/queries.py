@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .html import op10_html
 from .language import op1_language
+from .licenses import op9_licenses
 from .mixing import op2_mixing
 from .quality import op4_quality
 from .simhash import op8_simhash
@@ -20,6 +22,8 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
+    "op9_licenses": op9_licenses,
+    "op10_html": op10_html,
 }
 ORACLES: dict[str, str] = {
     "op7_warc": OP7_SQL,
