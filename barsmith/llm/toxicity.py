@@ -188,6 +188,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(work, f"{id_col} {dict(docs.dtypes)[id_col]}, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The documents that score below ``limit``, with all their columns; scored in the batches that carry them, without a join."""
+
+    def work(batches):
+        scorer, w = Scorer(model.toxic, model.ordinary), np.array(model.weight)
+        for batch in batches:
+            x = np.array([scorer.features(t.as_py()) for t in batch.column(text_col)]).reshape(-1, 11)
+            z = np.clip((x - np.array(model.mean)) / np.array(model.scale) @ w[:-1] + w[-1], -30, 30)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-z)) < limit))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from the labels outside the held-out fold."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
