@@ -107,16 +107,16 @@ def portfolio_total(df: DataFrame) -> DataFrame:
     return detail.unionByName(total)
 
 
-def bootstrap(trades: DataFrame, sims: int, steps: int, fund: float = 10_000.0, bet: Column | None = None, most_trades: int = 100_000) -> DataFrame:
+def bootstrap(trades: DataFrame, sims: int, steps: int, fund: float = 10_000.0, bet: Column | None = None) -> DataFrame:
     """(sim, capital, least): ``sims`` paths of ``steps`` draws with replacement from ``trades(symbol, i, n, profit)``.
 
-    A draw's index is a hash of (sim, step) modulo the trade count, so reruns agree. Draws are dealt by index: a trade
+    A draw's index is a digest of (sim, step) modulo the trade count, so reruns agree. Draws are dealt by index: a trade
     meets its draws in a hash join, and a path is a product, combined before it is shuffled.
     """
     spark = trades.sparkSession
     draws = spark.range(sims).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     counts = trades.groupBy("symbol").agg(F.max("n").alias("n"))
-    index = F.pmod(F.crc32(F.concat_ws("-", F.lit("draw"), "sim", "step").cast("binary")), F.col("n"))
+    index = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit("draw"), "sim", "step")), 1, 8), 16, 10).cast("long") % F.col("n")
     drawn = counts.crossJoin(draws).withColumn("i", index)
     found = drawn.join(trades.select("symbol", "i", "profit"), ["symbol", "i"])
     growth = 1 + (F.col("profit") if bet is None else bet * F.col("profit"))
