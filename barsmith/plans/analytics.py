@@ -96,12 +96,12 @@ def a8(spark, sf):
 
 @query("a9_win_probability", f"{KNOWN} select symbol, {q('avg(case when profit <= 0 then 1.0 else 0.0 end)', 'p_loss')}, {q('1 - avg(case when profit <= 0 then 1.0 else 0.0 end)', 'p_win')} from known group by symbol")
 def a9(spark, sf):
-    return rounded(D.win_probability(labels(spark, sf)), "symbol", p_loss="p_loss", p_win="p_win")
+    return rounded(D.win_probability(labels(spark, sf).filter("profit is not null")), "symbol", p_loss="p_loss", p_win="p_win")
 
 
 @query("a10_credible_interval", f"{KNOWN} select symbol, {q('quantile_disc(profit, 0.05)', 'lower')}, {q('quantile_disc(profit, 0.95)', 'upper')}, {q('abs(quantile_disc(profit, 0.05))', 'loss_margin')} from known group by symbol")
 def a10(spark, sf):
-    return rounded(D.credible_interval(labels(spark, sf)), "symbol", lower="lower", upper="upper", loss_margin="loss_margin")
+    return rounded(D.credible_interval(labels(spark, sf).filter("profit is not null")), "symbol", lower="lower", upper="upper", loss_margin="loss_margin")
 
 
 @query("a11_profit_margin", f"{KNOWN}, c as (select symbol, round(profit, 1) as value, count(*) as n from known where profit > 0 group by 1, 2) select symbol, value as profit_margin, n as times from c qualify row_number() over (partition by symbol order by n desc, value) = 1")
@@ -184,7 +184,7 @@ def a20(spark, sf):
     return df.select("symbol", r("capture_rate").alias("capture_rate"), r("coverage").alias("coverage"), r("holding_hours", 4).alias("holding_hours"), r("win_rate").alias("win_rate"), r("expected", 4).alias("expected"), r("breakeven", 4).alias("breakeven"))
 
 
-@query("a21_pair_frequency", f"{ACCELERATION}, n as (select *, row_number() over (partition by symbol order by ts desc) as rn from ac) select sign(round(ca, 6)) as price_acc, sign(va) as vol_acc, count(*) as n from n where rn > 5 and ca is not null group by 1, 2")
+@query("a21_pair_frequency", f"{ACCELERATION}, n as (select *, row_number() over (partition by symbol order by ts desc) as rn from ac) select cast(sign(round(ca, 6)) as double) as price_acc, cast(sign(va) as double) as vol_acc, count(*) as n from n where rn > 5 and ca is not null group by 1, 2")
 def a21(spark, sf):
     df = T.finished_bars(I.acceleration(T.candles(spark, sf)), 5).filter("close_acc is not null")
     return df.groupBy(F.signum(F.round("close_acc", 6)).alias("price_acc"), F.signum("vol_acc").alias("vol_acc")).agg(F.count("*").alias("n"))
@@ -232,15 +232,15 @@ def _bootstrap(spark, sf):
     return V.bootstrap(trades, 40, 12, bet=F.lit(0.5))
 
 
-@query("g11_bootstrap", f"{BOOT} select symbol, sim, {q('capital', 'capital', 3)} from bo")
+@query("g11_bootstrap", f"{BOOT} select symbol, sim, {q('ln(capital / 10000)', 'log_growth', 5)} from bo")
 def g11(spark, sf):
-    return _bootstrap(spark, sf).select("symbol", "sim", r("capital", 3).alias("capital"))
+    return _bootstrap(spark, sf).select("symbol", "sim", r(F.log(F.col("capital") / 10000), 5).alias("log_growth"))
 
 
-@query("a26_bootstrap_summary", f"{BOOT} select symbol, {q('avg(capital / 10000 - 1)', 'mean_return', 5)}, avg(case when capital > 10000 then 1.0 else 0.0 end) as win_rate, {q('max(capital)', 'best', 3)}, {q('min(capital)', 'worst', 3)} from bo group by symbol")
+@query("a26_bootstrap_summary", f"{BOOT} select symbol, {q('ln(avg(capital / 10000))', 'log_mean', 5)}, avg(case when capital > 10000 then 1.0 else 0.0 end) as win_rate, {q('ln(max(capital) / 10000)', 'best', 5)}, {q('ln(min(capital) / 10000)', 'worst', 5)} from bo group by symbol")
 def a26(spark, sf):
     df = V.bootstrap_summary(_bootstrap(spark, sf))
-    return df.select("symbol", r("mean_return", 5).alias("mean_return"), "win_rate", r("best", 3).alias("best"), r("worst", 3).alias("worst"))
+    return df.select("symbol", r(F.log(F.col("mean_return") + 1), 5).alias("log_mean"), "win_rate", r(F.log(F.col("best") / 10000), 5).alias("best"), r(F.log(F.col("worst") / 10000), 5).alias("worst"))
 
 
 WINDOW_S = 40 * 21600
@@ -257,9 +257,9 @@ def j7(spark, sf):
 
 @query(
     "j8_first_stop",
-    f"""{TURTLE}, x as (select e.symbol, e.ts, l.ts as at, l.close as sell from turtle e join turtle l on e.symbol = l.symbol and l.ts > e.ts and (l.atr > 1.5 * e.atr or l.close < l.turtle_l or l.close <= 0.5 * e.close)),
-    m as (select symbol, ts, min(at) as at, arg_min(sell, at) as sell from x group by 1, 2), n as (select *, row_number() over ({BY}) as rn from turtle)
-    select n.symbol, n.ts, m.sell as stop_sell, o.rn - n.rn as stop_cost from n left join m on n.symbol = m.symbol and n.ts = m.ts left join n o on o.symbol = m.symbol and o.ts = m.at""",
+    f"""{TURTLE}, x as (select e.symbol, e.ts, l.ts as hit, l.close as sell from turtle e join turtle l on e.symbol = l.symbol and l.ts > e.ts and (l.atr > 1.5 * e.atr or l.close < l.turtle_l or l.close <= 0.5 * e.close)),
+    m as (select symbol, ts, min(hit) as hit, arg_min(sell, hit) as sell from x group by 1, 2), n as (select *, row_number() over ({BY}) as rn from turtle)
+    select n.symbol, n.ts, m.sell as stop_sell, o.rn - n.rn as stop_cost from n left join m on n.symbol = m.symbol and n.ts = m.ts left join n o on o.symbol = m.symbol and o.ts = m.hit""",
 )
 def j8(spark, sf):
     return L.barrier_labels(turtle(spark, sf), 1.5, 0.5, 1.5).select("symbol", "ts", "stop_sell", "stop_cost")
@@ -293,9 +293,9 @@ def g3(spark, sf):
 
 @query(
     "g4_win_updates",
-    f"""{TRAIL.replace("with ticks", "with recursive ticks", 1)}, nm as (select *, 1 / (1 + exp(-(n - 3))) * (1 - pl) / greatest(pl, 1e-6) as like, row_number() over (partition by symbol order by today) as rn from lk),
-    up as (select symbol, today, rn, 0.5 / (0.5 + 1e-10) * coalesce(like, 1) as o from nm where rn = 1
-    union all select n.symbol, n.today, n.rn, (case when u.o / (u.o + 1 + 1e-10) = 1 then 0.999999 else u.o / (u.o + 1 + 1e-10) end) / (1 - (case when u.o / (u.o + 1 + 1e-10) = 1 then 0.999999 else u.o / (u.o + 1 + 1e-10) end) + 1e-10) * coalesce(n.like, 1) from up u join nm n on n.symbol = u.symbol and n.rn = u.rn + 1)
+    f"""{TRAIL.replace("with ticks", "with recursive ticks", 1)}, nm as (select *, 1 / (1 + exp(-(n - 3))) * (1 - pl) / greatest(pl, 1e-6) as lik, row_number() over (partition by symbol order by today) as rn from lk),
+    up as (select symbol, today, rn, 0.5 / (0.5 + 1e-10) * coalesce(lik, 1) as o from nm where rn = 1
+    union all select n.symbol, n.today, n.rn, (case when u.o / (u.o + 1 + 1e-10) = 1 then 0.999999 else u.o / (u.o + 1 + 1e-10) end) / (1 - (case when u.o / (u.o + 1 + 1e-10) = 1 then 0.999999 else u.o / (u.o + 1 + 1e-10) end) + 1e-10) * coalesce(n.lik, 1) from up u join nm n on n.symbol = u.symbol and n.rn = u.rn + 1)
     select symbol, today, {q("o / (o + 1 + 1e-10)", "posterior")} from up""",
 )
 def g4(spark, sf):
@@ -358,9 +358,9 @@ def ledger(spark, sf):
     return A.fill_ledger(A.net_fills(T.fills(spark, sf)))
 
 
-@query("g8_fill_ledger", f"{LEDGER} select symbol, cast(rn as integer) as rn, side, {q('held', 'held', 4)}, {q('avg_cost', 'avg_cost', 4)}, {q('profit', 'profit', 4)}, {q('cash', 'cash', 3)} from led")
+@query("g8_fill_ledger", f"{LEDGER} select symbol, cast(rn as integer) as rn, side, {q('held', 'held', 4)}, {q('avg_cost', 'avg_cost', 4)}, {q('profit', 'profit', 4)}, {q('cash / 997', 'cash_share', 6)} from led")
 def g8(spark, sf):
-    return ledger(spark, sf).select("symbol", "rn", "side", r("held", 4).alias("held"), r("avg_cost", 4).alias("avg_cost"), r("profit", 4).alias("profit"), r("cash", 3).alias("cash"))
+    return ledger(spark, sf).select("symbol", "rn", "side", r("held", 4).alias("held"), r("avg_cost", 4).alias("avg_cost"), r("profit", 4).alias("profit"), r(F.col("cash") / 997, 6).alias("cash_share"))
 
 
 def _account(spark, sf):
