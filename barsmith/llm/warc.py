@@ -131,7 +131,7 @@ class _Gzip(io.RawIOBase):
 
     def read(self, n: int = -1) -> bytes:
         out = b""
-        while not out and (self.inflate.unconsumed_tail or len(self.data)):
+        while not out and (self.inflate.unconsumed_tail or self.inflate.unused_data or len(self.data)):
             if self.inflate.eof:
                 self.data = memoryview(self.inflate.unused_data + bytes(self.data)) if self.inflate.unused_data else self.data
                 self.inflate = zlib.decompressobj(31)
