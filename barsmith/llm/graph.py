@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -35,3 +37,28 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def near_components(nodes: DataFrame, item: str, buckets: Callable[[DataFrame], DataFrame], bucket: list[str], near: Callable[[Column, Column], Column]) -> DataFrame:
+    """(node, component) of the links among ``nodes(node, item)``, rows of distinct items, that ``near(item, item)`` accepts.
+
+    ``buckets`` gives each row its buckets (columns ``bucket``); every linked pair must share one. First each bucket
+    links its members to its smallest node, where near enough: a row per member, never pairs. Links inside a component
+    found so change nothing, so only buckets that still hold several components are compared, and in them only members
+    outside the bucket's largest component against members of other components. No link between components is lost,
+    and a bucket of near copies costs rows in proportion to its size.
+    """
+    table = buckets(nodes)
+    hubs = table.groupBy(*bucket).agg(F.min_by(F.struct("node", item), "node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select(*bucket, "hub")
+    star = table.join(hubs, bucket).filter((F.col("node") != F.col("hub.node")) & near(F.col(item), F.col(f"hub.{item}")))
+    star = materialise(star.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), "star-links")
+    first = components(star)
+    placed = materialise(nodes.join(first, "node", "left").select("node", item, F.coalesce("component", "node").alias("comp")), "placed")
+    table = buckets(placed)
+    mixed = table.groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(*bucket)
+    members = materialise(table.join(mixed, bucket), "mixed-buckets")
+    sizes = members.groupBy(*bucket, "comp").agg(F.count("*").alias("n"))
+    major = sizes.groupBy(*bucket).agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    rest = members.join(major, bucket).filter("comp != major").select(*bucket, F.col("node").alias("u"), F.col(item).alias("item_u"), F.col("comp").alias("comp_u"))
+    cross = rest.join(members, bucket).filter((F.col("comp_u") != F.col("comp")) & near(F.col("item_u"), F.col(item)))
+    return components(star.unionByName(cross.select("u", F.col("node").alias("v"))))

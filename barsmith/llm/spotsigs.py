@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, read
+from . import graph
+from .common import let, materialise, read
 
 #: Common words of English, German, French and Spanish, which anchor the chains.
 ANCHORS = (
@@ -56,6 +57,48 @@ def jaccard(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def pruned_jaccard(a: Column, b: Column, least: float) -> Column:
+    """Whether two sets' Jaccard likeness reaches ``least``; pairs whose sizes rule it out are not intersected."""
+    possible = F.least(F.size(a), F.size(b)) >= least * F.greatest(F.size(a), F.size(b))
+    return F.when(possible, jaccard(a, b) >= least).otherwise(F.lit(False))
+
+
+def _length_range(size: Column, least: float) -> Column:
+    """Ranges of set lengths in which the longest is 1 / ``least`` times the shortest: likely partners are in neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / least)))
+
+
+def _inverted(sets: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
+    """``sets(node, s, ...)`` under (range, spot): the set's own length range and the next, and the spots of its prefix.
+
+    Rarest spots come first; two sets that reach ``least`` share a spot among the first n - ceil(least * n) + 1 of each.
+    """
+    spread = sets.select("node", F.explode("s").alias("spot")).join(frequency, "spot")
+    ordered = spread.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "spot"))).alias("order"))
+    n = F.size("order")
+    prefix = F.slice("order", F.lit(1), (n - F.ceil(least * n) + 1).cast("int"))
+    keyed = sets.join(ordered.select("node", F.filter(prefix, lambda x: x["df"] > 1).alias("prefix")), "node")
+    own = _length_range(F.size("s"), least)
+    return keyed.withColumn("range", F.explode(F.array(own, own + 1))).withColumn("x", F.explode("prefix")).withColumn("spot", F.col("x.spot")).drop("x", "prefix")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """(id, fingerprint, class_id): a row per input row; class_id is the smallest id reachable over spot sets of Jaccard ``least`` or more.
+
+    Equal sets are one node. Sets are partitioned by length and meet under a rare spot of theirs; rows with a null id
+    take part and are named by the other ids of their class, if any.
+    """
+    rows = materialise(docs.select(F.col(id_col).alias("id"), spots(F.coalesce(F.col(text_col), F.lit(""))).alias("s")).withColumn("f", fingerprint(F.col("s"))), "spots")
+    spare = F.lit(1 << 62) + F.pmod(F.xxhash64("f"), F.lit(1 << 61))
+    nodes = rows.groupBy("f").agg(F.min("id").cast("long").alias("id"), F.first("s").alias("s"))
+    nodes = materialise(nodes.select("f", "s", F.coalesce("id", spare).alias("node")), "spot-sets")
+    frequency = materialise(nodes.select(F.explode("s").alias("spot")).groupBy("spot").agg(F.count("*").alias("df")), "spot-frequency")
+    linked = graph.near_components(nodes.select("node", "s"), "s", lambda df: _inverted(df, frequency, least), ["range", "spot"], lambda a, b: pruned_jaccard(a, b, least))
+    labels = nodes.join(linked, "node", "left").select(F.col("f").alias("f_"), F.coalesce("component", "node").alias("label"))
+    out = rows.join(labels, F.col("f") == F.col("f_"), "left")
+    return out.select("id", F.col("f").alias("fingerprint"), F.when(F.col("label") < (1 << 62), F.col("label")).alias("class_id"))
+
+
 def next_keys(keys: DataFrame, ranges: int = RANGES) -> DataFrame:
     """(key, prev): for each of ``keys(key)``, distinct longs, the next larger one, or for the largest the smallest.
 

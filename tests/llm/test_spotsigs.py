@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from barsmith.llm import spotsigs as P
 from barsmith.llm.common import read
 from pyspark.sql import functions as F
 
-from .edges import EDGE_SCHEMA, TEXTS, edge
+from .edges import EDGE_SCHEMA, TEXTS, docs, edge, words
 
 WORD = re.compile(P._WORD)
 
@@ -35,11 +36,11 @@ def test_spots_by_brute_force(spark):
 
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
-    docs = sorted(((r.doc_id, r.text) for r in read(spark, sf, "documents").collect()), reverse=True)
+    texts = sorted(((r.doc_id, r.text) for r in read(spark, sf, "documents").collect()), reverse=True)
     rows = {r.doc_id: r for r in P.op5_spotsigs(spark, sf).collect()}
-    assert len(rows) == len(docs)
-    for k, (i, t) in enumerate(docs):
-        follow = docs[(k + 1) % len(docs)]
+    assert len(rows) == len(texts)
+    for k, (i, t) in enumerate(texts):
+        follow = texts[(k + 1) % len(texts)]
         half = len(t) // 2
         text = t[: len(t) - half] + follow[1][:half]
         r = rows[i]
@@ -51,6 +52,30 @@ def test_query(spark):
         assert abs(r.near_edited - len(a & b) / len(a | b)) < 1e-9
 
 
+def test_near_duplicates_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(6):
+        base = " ".join(rng.choice(["the", "of", "and"]) + " " + words(2, rng.randint(0, 10**6)) for _ in range(60)).split()
+        for k in range(9):
+            w = list(base)
+            for _ in range(rng.randint(0, 7)):
+                w[rng.randrange(len(w))] = words(1, rng.randint(0, 10**6))
+            rows.append((100 * g + k, " ".join(w), "s"))
+    df = docs(spark, rows)
+    sets = {r.i: frozenset(r.s) for r in df.select(F.col("doc_id").alias("i"), P.spots(F.col("text")).alias("s")).collect()}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if len(a & b) / len(a | b) >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+    assert {r.id: r.class_id for r in P.near_duplicates(df).collect()} == label
+    assert 6 < len(set(label.values())) < len(label)
+    assert P.near_duplicates(edge(spark)).count() == len(TEXTS)
+    assert P.near_duplicates(spark.createDataFrame([], EDGE_SCHEMA)).count() == 0
+
+
 def test_edges(spark):
     rows = P.edited_fingerprints(edge(spark)).collect()
     assert len(rows) == len(TEXTS)
