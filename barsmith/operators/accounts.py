@@ -211,21 +211,21 @@ def net_fills(fills: DataFrame) -> DataFrame:
     return kept.withColumn("position", position).withColumn("price", F.try_divide(F.when(buy, F.col("cash")).otherwise(F.col("cash") - F.col("fees")), F.col("position")))
 
 
-def account_fold(position: np.ndarray, price: np.ndarray, buy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(held, average cost, realised profit) after each fill; the average changes on buys only, sells never go short."""
-    held = avg = 0.0
-    out = np.full((len(position), 3), np.nan)
-    for i in range(len(position)):
-        if buy[i]:
-            avg = (avg * held + position[i] * price[i]) / (held + position[i])
-            held += position[i]
-        else:
-            sold = min(position[i], held)
-            if sold > 0:
-                out[i, 2] = price[i] / avg - 1
-            held -= sold
-        out[i, :2] = held, avg
-    return out[:, 0], out[:, 1], out[:, 2]
+def fill_step(held: float, avg: float, cash: float, buy: bool, position: float, price: float) -> tuple[float, float, float, float]:
+    """(held, average cost, cash, realised profit) after a fill; the average changes on buys only, sells never go short."""
+    if buy:
+        return held + position, (avg * held + position * price) / (held + position), cash - position * price, float("nan")
+    sold = min(position, held)
+    return held - sold, avg, cash + sold * price, price / avg - 1 if sold > 0 else float("nan")
+
+
+def account_fold(position: np.ndarray, price: np.ndarray, buy: np.ndarray) -> np.ndarray:
+    """(held, average cost, cash, realised profit) after each fill of a series."""
+    out, now = np.zeros((len(position), 4)), (0.0, 0.0, 0.0)
+    for i, fill in enumerate(zip(buy.tolist(), position.tolist(), price.tolist(), strict=True)):
+        out[i] = fill_step(*now, *fill)
+        now = tuple(out[i, :3].tolist())
+    return out
 
 
 def fill_ledger(fills: DataFrame, keys: tuple = ("symbol",), order: str = "seq") -> DataFrame:
@@ -236,9 +236,8 @@ def fill_ledger(fills: DataFrame, keys: tuple = ("symbol",), order: str = "seq")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn", ignore_index=True)
-        held, avg, profit = account_fold(pdf["position"].to_numpy(float), pdf["price"].to_numpy(float), (pdf["side"] == "buy").to_numpy())
-        moved = np.diff(held, prepend=0.0)
-        return pdf.assign(held=held, avg_cost=avg, profit=profit, cash=-np.cumsum(moved * pdf["price"].to_numpy(float)))
+        held, avg, cash, profit = account_fold(pdf["position"].to_numpy(float), pdf["price"].to_numpy(float), (pdf["side"] == "buy").to_numpy()).T
+        return pdf.assign(held=held, avg_cost=avg, profit=profit, cash=cash)
 
     out = numbered.select(cols).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", held double, avg_cost double, profit double, cash double")
     return out.withColumn("profit", F.when(~F.isnan("profit"), F.col("profit")))

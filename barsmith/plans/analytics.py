@@ -463,6 +463,15 @@ def t5(spark, sf):
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "reason", r(F.when(~F.isnan("price"), F.col("price"))).alias("price"), r("cash", 4).alias("cash"), r("position").alias("position"), r("avg_cost").alias("avg_cost"))
 
 
+@query("t6_order_updates", f"{LEDGER} select symbol, cast(rn as integer) as rn, side, {q('held', 'held', 4)}, {q('avg_cost', 'avg_cost', 4)}, {q('profit', 'profit', 4)} from led")
+def t6(spark, sf):
+    path = T.scratch(spark, "order-updates")
+    net = A.net_fills(T.fills(spark, sf)).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("seq")))
+    net.select("symbol", "rn", "side", "position", "price").write.parquet(path)
+    out = B.drain(B.ledger_updates(B.replay(spark, path, "symbol long, rn int, side string, position double, price double")), "ledger")
+    return out.select("symbol", "rn", "side", r("held", 4).alias("held"), r("avg_cost", 4).alias("avg_cost"), r(F.when(~F.isnan("profit"), F.col("profit")), 4).alias("profit"))
+
+
 @query("t7_day_volume", "with t as (select event_type || '_' || (user_id % 4) as symbol, ts, cast(json_extract_string(props, '$.k') as bigint) + 1 as qty from events), s as (select symbol, time_bucket(interval 6 hours, ts) + k * interval 6 hours as ts, qty from t, (select unnest([1, 2, 3, 4]) as k)) select symbol, ts, cast(sum(qty) as double) as day_vol from s where ts <= (select max(ts) from events) - interval 5 seconds group by symbol, ts")
 def t7(spark, sf):
     return B.drain(B.day_volume(_tick_stream(spark, sf)), "day-volume").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.accounts import STATE, account_step
+from ..operators.accounts import STATE, account_step, fill_step
 from ..sources.tables import scratch
 
 TICK = "symbol string, ts timestamp, price double, qty long"
@@ -91,6 +91,22 @@ def account_updates(bars: DataFrame, cap: float = 100.0, hard_cutoff: float = 0.
     return bars.groupBy("symbol").applyInPandasWithState(_account(cap, hard_cutoff, ratio), out, "account string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _order_update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held, avg, cash = json.loads(state.get[0]) if state.exists else (0.0, 0.0, 0.0)
+    new, rows = pd.concat(list(batches)).sort_values("rn"), []
+    for rn, side, position, price in new[["rn", "side", "position", "price"]].itertuples(index=False):
+        held, avg, cash, profit = fill_step(held, avg, cash, side == "buy", position, price)
+        rows.append((key[0], rn, side, held, avg, profit, cash))
+    state.update((json.dumps((held, avg, cash)),))
+    yield pd.DataFrame(rows, columns=["symbol", "rn", "side", "held", "avg_cost", "profit", "cash"])
+
+
+def ledger_updates(fills: DataFrame) -> DataFrame:
+    """Order updates mutate each symbol's account: the ledger's rows as its fills arrive, three numbers of state a symbol."""
+    out = "symbol long, rn int, side string, held double, avg_cost double, profit double, cash double"
+    return fills.groupBy("symbol").applyInPandasWithState(_order_update, out, "account string", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(stream: DataFrame, label: str, statements: bool = False) -> DataFrame:
     """Run a stream over what is there, into Parquet files; ``statements`` appends each batch by itself."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession, label)
