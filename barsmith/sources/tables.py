@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (a temporary one where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new path in ``spark.checkpoint.dir``, which driver and executors share; a folder of this process's own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
