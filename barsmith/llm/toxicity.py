@@ -19,6 +19,8 @@ from .common import fold, read
 SAMPLE, SAMPLE_CHARS = 3000, 100_000
 #: Words in a window, bytes of the common dictionary and of a contrast dictionary, letters of a gram.
 WINDOW, COMMON, CONTRAST, GRAM = 12, 32_768, 16_384, 5
+#: Ordinary words whose grams training holds at once.
+WORDS_HELD = 100_000
 #: Two bytes between words, so that a match of 7 bytes holds the start or the end of a short word.
 GAP = b"  "
 
@@ -88,20 +90,25 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     What both share costs the same in both, so only toxic words change the difference in length.
     """
     sets = [[set(t.lower().encode("utf-8", "replace").split()) for t in side] for side in (toxic, ordinary)]
-    seen, cache = [Counter(), Counter()], {}
-    for side in (0, 1):
-        for words in sets[side]:
-            found = set()
-            for w in words:
-                if (g := cache.get(w)) is None:
-                    g = cache[w] = _grams(w)
-                found.update(g)
-            seen[side].update(found)
-    rate = {g: (seen[1][g] + 0.5) / (len(ordinary) + 1) * len(toxic) for g, n in seen[0].items() if n >= 3}
+    seen = [Counter(), Counter()]
+    for words in sets[0]:
+        seen[0].update({g for w in words for g in _grams(w)})
+    asked = {g: g for g, n in seen[0].items() if n >= 3}
+    held: dict[bytes, tuple] = {}
+    for words in sets[1]:
+        found = set()
+        for w in words:
+            if (g := held.get(w)) is None:
+                if len(held) > WORDS_HELD:
+                    held.clear()
+                g = held[w] = tuple(asked[x] for x in _grams(w) if x in asked)
+            found.update(g)
+        seen[1].update(found)
+    rate = {g: (seen[1][g] + 0.5) / (len(ordinary) + 1) * len(toxic) for g in asked}
     marks = {g for g, e in rate.items() if seen[0][g] > MORE * e and seen[0][g] - e > SURE * math.sqrt(e + 0.5)}
     spans: Counter = Counter()
     for words in sets[0]:
-        spans.update({span for w in words for span in _marked(w, cache[w], marks)})
+        spans.update({span for w in words for span in _marked(w, _grams(w), marks)})
     chosen, size = [], 0
     for span, _ in sorted(spans.items(), key=lambda x: (-x[1], x[0])):
         if size + len(span) < CONTRAST:
