@@ -193,12 +193,13 @@ RETURNS = f"""{CANDLES}, lr as (select *, ln(close / lag(close) over ({BY})) as
 
 @query(
     "w15_returns",
-    f"""{RETURNS} select symbol, ts, {q("log_return", "log_return")}, {q("drift", "drift")}, {q("volatility", "volatility")}, {q("close * exp(drift)", "pred_price")},
+    f"""{RETURNS} select symbol, ts, {q("log_return", "log_return")}, {q("drift", "drift")}, {q("volatility", "volatility")}, {q("close * exp(drift)", "pred_price", 9)},
     {q(roll("avg", "lv", 20, 1), "global_log_vol")}, {q(roll("avg", "lvol", 20, 1), "global_log_volatility")} from lw""",
 )
 def w15(spark, sf):
     names = ("log_return", "drift", "volatility", "pred_price", "global_log_vol", "global_log_volatility")
-    return rounded(I.returns_block(candles(spark, sf), 20), "symbol", "ts", **{c: c for c in names})
+    df = I.returns_block(candles(spark, sf), 20)
+    return df.select("symbol", "ts", *[r(c, 9 if c == "pred_price" else 6).alias(c) for c in names])
 
 
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
