@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,10 @@ def _grams(word: bytes) -> list[bytes]:
     return [x[i : i + GRAM] for i in range(len(x) - GRAM + 1)]
 
 
+def _word_set(text: str) -> set[bytes]:
+    return set(text.lower().encode("utf-8", "replace").split())
+
+
 def _marked(word: bytes, grams: list[bytes], marks: set[bytes]) -> list[bytes]:
     """The stretches of a word, with a space at either end, that two or more marked grams cover."""
     out, start, end, count = [], 0, -1, 0
@@ -89,15 +94,14 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
 
     What both share costs the same in both, so only toxic words change the difference in length.
     """
-    sets = [[set(t.lower().encode("utf-8", "replace").split()) for t in side] for side in (toxic, ordinary)]
     seen = [Counter(), Counter()]
-    for words in sets[0]:
-        seen[0].update({g for w in words for g in _grams(w)})
+    for t in toxic:
+        seen[0].update({g for w in _word_set(t) for g in _grams(w)})
     asked = {g: g for g, n in seen[0].items() if n >= 3}
     held: dict[bytes, tuple] = {}
-    for words in sets[1]:
+    for t in ordinary:
         found = set()
-        for w in words:
+        for w in _word_set(t):
             if (g := held.get(w)) is None:
                 if len(held) > WORDS_HELD:
                     held.clear()
@@ -107,15 +111,15 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     rate = {g: (seen[1][g] + 0.5) / (len(ordinary) + 1) * len(toxic) for g in asked}
     marks = {g for g, e in rate.items() if seen[0][g] > MORE * e and seen[0][g] - e > SURE * math.sqrt(e + 0.5)}
     spans: Counter = Counter()
-    for words in sets[0]:
-        spans.update({span for w in words for span in _marked(w, _grams(w), marks)})
+    for t in toxic:
+        spans.update({span for w in _word_set(t) for span in _marked(w, _grams(w), marks)})
     chosen, size = [], 0
     for span, _ in sorted(spans.items(), key=lambda x: (-x[1], x[0])):
         if size + len(span) < CONTRAST:
             chosen.append(span.replace(b" ", GAP))
             size += len(chosen[-1])
     marked = GAP.join(reversed(chosen))
-    samples = [x for t in ordinary for x in _lines(t)][:40_000]
+    samples = list(islice((x for t in ordinary for x in _lines(t)), 40_000))
     try:
         common = zstandard.train_dictionary(COMMON, samples, k=32, d=8).as_bytes()[-COMMON:]
     except zstandard.ZstdError:  # too few samples to train on: their text itself
