@@ -126,7 +126,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     links = next_keys(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key")).distinct())
-    one = keyed.withColumn("rank_", F.row_number().over(Window.partitionBy("key").orderBy("t"))).filter("rank_ = 1")
+    # a lag, since the limit that Spark puts below the shuffle for a row number would keep the shuffle from being shared
+    one = keyed.withColumn("before_", F.lag("key").over(Window.partitionBy("key").orderBy("t"))).filter("before_ is null")
     follow = one.join(links.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_")).select(F.col("prev").alias("to_"), F.col("id").alias("next_id"), F.col("t").alias("next_t"))
     both = keyed.join(follow, F.col("key") == F.col("to_"))
     n = F.length("t")
