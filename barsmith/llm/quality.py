@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, let, materialise, read, words
 
-#: A line is frequent in a host from this many distinct documents, and this share of the host's documents.
-MIN_DOCS, MAX_SHARE = 20, 0.05
+#: A line is frequent in a host from this many distinct documents, and over the lesser of this share of them and this count.
+MIN_DOCS, MAX_SHARE, MOST_DOCS = 20, 0.05, 1000
+#: Least hashes of 3-word windows that must all agree in one of four bands for documents to be near copies.
+BAND = 16
 #: A document that loses over this share of its line characters is depleted.
 MAX_LOST = 0.5
 
@@ -20,7 +22,7 @@ def _windows(w: Column) -> Column:
 
 
 def _repeated_words(windows: Column) -> Column:
-    """Words inside windows whose hash comes twice or more: equal hashes are neighbours once sorted; overlaps count once."""
+    """Words inside windows, sorted by hash, whose hash comes twice or more: equal hashes are neighbours; overlaps count once."""
 
     def places(s: Column) -> Column:
         twin = F.filter(s, lambda x, i: F.get(s, i - 1)["h"].eqNullSafe(x["h"]) | F.get(s, i + 1)["h"].eqNullSafe(x["h"]))
@@ -28,7 +30,21 @@ def _repeated_words(windows: Column) -> Column:
 
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"))
-    return F.aggregate(let(F.sort_array(windows), places), start, step, lambda acc: acc["n"])
+    return F.aggregate(places(windows), start, step, lambda acc: acc["n"])
+
+
+def _bands(windows: Column) -> Column:
+    """Hashes of the BAND least and greatest of the negative and of the other window hashes, as far as there are so many.
+
+    Near copies, with a few words in a hundred changed, mostly agree in one; documents that share a tenth less in none.
+    """
+
+    def cut(h: Column) -> Column:
+        size, below = F.size(h), F.size(F.filter(h, lambda x: x < 0))
+        starts = [(F.lit(1), below), (below - BAND + 1, below), (below + 1, size - below), (size - BAND + 1, size - below)]
+        return F.array_compact(F.array(*[F.when(n >= BAND, F.xxhash64(F.lit(j), F.slice(h, F.greatest(at, F.lit(1)), F.lit(BAND)))) for j, (at, n) in enumerate(starts)]))
+
+    return let(F.transform(windows, lambda x: x["h"]), cut)
 
 
 def _normal(line: Column) -> Column:
@@ -37,15 +53,16 @@ def _normal(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One pass over the texts, materialised: counts, a sketch of the document and its distinct lines, in a row per input row.
+    """One pass over the texts, materialised: counts, hashes of the document and its lines, in a row per input row.
 
-    ``sketch`` is the least hash of the 3-word windows: equal for copies and mostly equal for near copies.
+    ``content`` is the hash of all its words, equal for copies alone; of ``bands`` near copies mostly share one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("body"))
 
     def counts(w: Column) -> Column:
-        return let(_windows(w), lambda x: F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(x).alias("n_repeat_words"), F.coalesce(F.array_min(F.transform(x, lambda y: y["h"])), F.xxhash64(F.array_join(w, " "))).alias("sketch")))
+        content = F.xxhash64(F.lower(F.array_join(w, " ")))
+        return let(F.sort_array(_windows(w)), lambda x: F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(x).alias("n_repeat_words"), content.alias("content"), _bands(x).alias("bands")))
 
     worded = F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     lines = let(worded, lambda ls: F.struct((F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"), F.transform(ls, lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.length(x).alias("n"))).alias("lines")))
@@ -64,17 +81,34 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def frequent_lines(table: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, h, docs): lines in over ``max_share`` of a host's documents, and in ``min_docs`` at least.
+def _distinct_documents(table: DataFrame, min_docs: int) -> DataFrame:
+    """(host, doc, lines) of every row: ``doc`` is equal for copies, and for near copies where a host holds ``min_docs`` or more.
+
+    Each document of a large group of near copies takes the most common band that it has, so that the group counts as a
+    few documents; documents that only share lines have few whole bands in common, and count as many.
+    """
+    bands = table.groupBy("host", "content").agg(F.first("bands").alias("bands")).select("host", "content", F.explode("bands").alias("band"))
+    common = bands.groupBy("host", "band").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select(F.col("host").alias("host_"), F.col("band").alias("band_"), "n")
+    near = bands.join(common, F.col("host").eqNullSafe(F.col("host_")) & (F.col("band") == F.col("band_")))
+    near = near.groupBy("host", "content").agg(F.max(F.struct("n", "band"))["band"].alias("near"))
+    near = materialise(near, "near-copies").select(F.col("host").alias("host_"), F.col("content").alias("content_"), "near")
+    found = table.join(near, F.col("host").eqNullSafe(F.col("host_")) & (F.col("content") == F.col("content_")), "left")
+    return found.select("host", F.coalesce("near", "content").alias("doc"), "lines")
+
+
+def frequent_lines(table: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
+    """(host, h, docs): lines in ``min_docs`` or more of a host's distinct documents, and in over the lesser of
+    ``max_share`` of them and ``most_docs``.
 
-    Documents are distinct by their sketch, so that a group of copies, however large, does not make its own lines
-    frequent. Counted in two combined steps, (host, line, sketch) then (host, line).
+    Copies and large groups of near copies count once or a few times, so that no group, however large, makes its own
+    lines frequent. Counted in two combined steps, (host, line, document) then (host, line).
     """
-    hosts = table.groupBy("host").agg(F.count("*").alias("total"))
-    seen = table.select("host", "sketch", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    docs = _distinct_documents(table, min_docs)
+    hosts = docs.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    seen = docs.select("host", "doc", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counts = seen.distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
     counts = counts.join(hosts.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")))
-    return counts.filter(F.col("docs") > max_share * F.col("total")).select("host", "h", "docs")
+    return counts.filter(F.col("docs") > F.least(max_share * F.col("total"), F.lit(most_docs))).select("host", "h", "docs")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_lost: float = MAX_LOST) -> DataFrame:

@@ -60,3 +60,18 @@ def test_frequent_lines(spark):
     assert rows[300].lost_chars == 0, "another host"
     kept = {r.doc_id: r.text for r in Q.keep_documents(docs(spark, corpus())).collect()}
     assert "Subscribe" not in kept[3] and kept[300].startswith("Subscribe") and 100 not in kept
+
+
+def test_boilerplate_of_depleted_documents_is_frequent(spark):
+    rows = []
+    for group, (n, own) in enumerate(((60, 24), (150, 12), (5000, 4))):
+        shared = [words(40, 50 + group), words(80 - own, 60 + group)]
+        rows += [(10000 * group + i, "\n".join([*shared, words(own, 50000 * (group + 1) + i)]), f"h{group}") for i in range(n)]
+    got = {r.id: r for r in Q.quality_rules(docs(spark, rows)).collect()}
+    assert all(got[i].lost_chars > 0 and not got[i].kept for i, *_ in rows), "most of each is shared by distinct documents"
+
+
+def test_near_copies_do_not_make_their_lines_frequent(spark):
+    body = [words(40, k) for k in range(10)]
+    rows = [(i, "\n".join([*body[: i % 10], body[i % 10] + f" {words(1, 700 + i)}", *body[i % 10 + 1 :]]), "h") for i in range(200)]
+    assert all(r.kept and r.lost_chars == 0 for r in Q.quality_rules(docs(spark, rows)).collect())
