@@ -70,33 +70,50 @@ def first_touch(touch: np.ndarray) -> np.ndarray:
     return np.where(touch.any(1), touch.argmax(1), -1)
 
 
-def barrier_labels(df: DataFrame, take: float = 1.05, stop: float = 0.95, atr_factor: float = 2.0, horizon: int = 400, block: int = 512) -> DataFrame:
-    """For every bar the first later bar, at most ``horizon`` on, at which an entry-dependent barrier is met.
+def barrier_labels(df: DataFrame, take: float = 1.05, stop: float = 0.95, atr_factor: float = 2.0, horizon: int | None = None, block: int = 512) -> DataFrame:
+    """For every bar the first later bar, at most ``horizon`` on if given, at which an entry-dependent barrier is met.
 
     stop_*: the range grows over ``atr_factor`` times the entry's, or the close falls below the channel or stop * buy; the
     sell is that bar's close. take_*: the high rises over take * buy; the cost is the bars waited, half a bar at least.
-    The thresholds differ by entry, which a frame cannot express: each symbol's arrays are scanned in blocks.
+    The thresholds differ by entry, which a frame cannot express: each symbol's arrays are scanned to
+    their end in blocks, for entries still open, and only where a block's extremes can meet their barriers.
     """
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", ignore_index=True)
         n = len(pdf)
         close, high, atr, low = (pdf[c].to_numpy(float) for c in ("close", "high", "atr", "turtle_l"))
-        stop_at, take_at = np.full(n, -1), np.full(n, -1)
-        for at in range(0, n, block):
-            entry = np.arange(at, min(n, at + block))[:, None]
-            later = entry + 1 + np.arange(min(horizon, n))[None, :]
-            inside, later = later < n, np.minimum(later, n - 1)
-            with np.errstate(invalid="ignore"):
-                hit = (atr[later] > atr_factor * atr[entry]) | (close[later] < low[later]) | (close[later] <= stop * close[entry])
-                stop_at[entry[:, 0]] = first_touch(hit & inside)
-                take_at[entry[:, 0]] = first_touch((high[later] > take * close[entry]) & inside)
+        reach, starts = n if horizon is None else horizon, np.arange(0, n, block)
+        most_atr, most_high, least_close = np.fmax.reduceat(atr, starts), np.fmax.reduceat(high, starts), np.fmin.reduceat(close, starts)
+        fell = np.logical_or.reduceat(close < low, starts)
+
+        def scan(hit, may) -> np.ndarray:
+            found = np.full(n, -1)
+            for at in starts:
+                left = np.arange(at, min(n, at + block))
+                for lo in range(at, min(n, at + block + reach), block):
+                    near = left[may(left, lo // block)]
+                    if len(near):
+                        entry, later = near[:, None], np.arange(lo, min(n, lo + block))[None, :]
+                        first = first_touch(hit(entry, later) & (later > entry) & (later <= entry + reach))
+                        found[near[first >= 0]] = lo + first[first >= 0]
+                        left = left[found[left] < 0]
+                    if not len(left):
+                        break
+            return found
+
+        with np.errstate(invalid="ignore"):
+            stop_at = scan(
+                lambda e, x: (atr[x] > atr_factor * atr[e]) | (close[x] < low[x]) | (close[x] <= stop * close[e]),
+                lambda e, k: (most_atr[k] > atr_factor * atr[e]) | fell[k] | (least_close[k] <= stop * close[e]),
+            )
+            take_at = scan(lambda e, x: high[x] > take * close[e], lambda e, k: most_high[k] > take * close[e])
         rows = np.arange(n)
         out = pdf[["symbol", "ts"]].copy()
-        out["stop_sell"] = np.where(stop_at >= 0, close[np.minimum(rows + 1 + stop_at, n - 1)], np.nan)
-        out["stop_cost"] = pd.array(np.where(stop_at >= 0, stop_at + 1, 0), "Int64")
+        out["stop_sell"] = np.where(stop_at >= 0, close[stop_at], np.nan)
+        out["stop_cost"] = pd.array(np.where(stop_at >= 0, stop_at - rows, 0), "Int64")
         out.loc[stop_at < 0, "stop_cost"] = pd.NA
-        out["take_cost"] = np.where(take_at >= 0, np.maximum(take_at + 1.0, 0.5), np.nan)
+        out["take_cost"] = np.where(take_at >= 0, np.maximum(take_at - rows, 0.5), np.nan)
         return out
 
     found = df.select("symbol", "ts", "close", "high", "atr", "turtle_l").groupBy("symbol").applyInPandas(label, "symbol string, ts timestamp_ntz, stop_sell double, stop_cost long, take_cost double")

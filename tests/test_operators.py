@@ -91,6 +91,12 @@ def test_barriers_by_brute_force(spark):
         assert (g.stop_cost, g.stop_sell) == (stop or (None, None)) and g.take_cost == take
 
 
+def test_barriers_look_to_the_end_of_the_series(spark):
+    df = I.turtle(bars(spark, [100.0] * 1200 + [150.0, 80.0]))
+    first = min(L.barrier_labels(df.withColumn("turtle_l", F.lit(0.0)).withColumn("atr", F.lit(1.0)), 1.1, 0.9).collect(), key=lambda r: r.ts)
+    assert (first.take_cost, first.stop_cost, first.stop_sell) == (1200.0, 1201, 80.0)
+
+
 def test_labels_never_exit_before_entry_and_are_causal(spark):
     closes = walk(120, 7)
     full = {r.ts: r for r in L.exit_labels(I.turtle(bars(spark, closes))).collect()}
