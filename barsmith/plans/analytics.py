@@ -458,7 +458,7 @@ def t5(spark, sf):
     """Order matching and account updates on a stream of bars with their levels; the batch fold of g9 gives the same rows."""
     path = T.scratch(spark, "levels")
     df = I.take_profit(turtle(spark, sf), 10, 3).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close", "exit_price", "take_profit", "buy_signal")
-    df.coalesce(1).write.parquet(path)
+    df.repartition("symbol").write.parquet(path)
     out = B.drain(B.account_updates(B.replay(spark, path, "symbol string, ts timestamp, high double, low double, close double, exit_price double, take_profit double, buy_signal boolean")), "accounts")
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "reason", r(F.when(~F.isnan("price"), F.col("price"))).alias("price"), r("cash", 4).alias("cash"), r("position").alias("position"), r("avg_cost").alias("avg_cost"))
 

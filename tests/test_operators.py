@@ -201,3 +201,15 @@ def test_bad_order_time_is_null(spark):
 def test_posterior_stays_a_probability():
     out = D.update_odds(pd.DataFrame({"likelihood": [1e9, 1e9, 1e-9, float("nan"), 0.0, 2.0]}))
     assert out["posterior"].between(0, 1).all()
+
+
+def test_stream_accounts_write_bars_in_many_tasks(spark, sf, monkeypatch):
+    paths, replay = [], analytics.B.replay
+    monkeypatch.setattr(analytics.B, "replay", lambda spark, path, *rest: paths.append(path) or replay(spark, path, *rest))
+    monkeypatch.setattr(analytics.B, "drain", lambda stream, label: spark.createDataFrame([], "symbol string, ts timestamp, reason string, price double, cash double, position double, avg_cost double"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        registry.QUERIES["t5_stream_accounts"](spark, sf)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.read.parquet(paths[0]).inputFiles()) > 1
