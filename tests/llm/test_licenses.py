@@ -45,3 +45,12 @@ def test_edges(spark):
     rows = S.scan(edge(spark)).collect()
     assert len(rows) == len(TEXTS) and {r.doc_id for r in rows if r.license} == {12}
     assert S.scan(spark.createDataFrame([], EDGE_SCHEMA)).count() == 0
+
+
+def test_siblings_are_told_apart(spark):
+    rows = [(i, words(20, i) + "\n" + text + "\n" + words(20, 99 + i), "en", "a") for i, (_, text) in enumerate(S.TEMPLATES)]
+    got = {r.doc_id: (r.license, r.licenses) for r in S.scan(edge(spark, rows)).collect()}
+    assert got == {i: (name, [name]) for i, (name, _) in enumerate(S.TEMPLATES)}
+    assert {"BSD-3-Clause", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-NC-SA-4.0", "CC-BY-SA-4.0"} <= {name for name, _ in got.values()}
+    named = [t for n, t in S.TEMPLATES if n == "BSD-3-Clause"][0].replace("the copyright holder nor", "Example Inc. nor")
+    assert S.scan(edge(spark, [(1, named, "en", "a")])).collect()[0].license == "BSD-3-Clause"
