@@ -15,6 +15,8 @@ from .common import fold, read
 DIM, GRAM, MAX_LANGUAGES, PER_LANGUAGE = 1024, 3, 500, 3000
 #: Letters with vectors of their own in one batch are numbered below this; text is cut into blocks of so many characters.
 BLOCK = 1 << 20
+#: Combining marks are numbered from here, letters below: a text of marks alone has no letter.
+MARKS = 0x110000
 
 
 def letter_vectors(points: np.ndarray, seed: int) -> np.ndarray:
@@ -33,14 +35,14 @@ _fold_table: list[np.ndarray] = []
 
 
 def _folded(points: np.ndarray) -> np.ndarray:
-    """Lower-case letters and marks as they are, everything else 0."""
+    """Lower-case letters as they are, marks above all letters, everything else 0."""
     if not _fold_table:
         table = np.zeros(0x110000, np.int32)
         for i in range(0x110000):
             c = chr(i)
             if unicodedata.category(c)[0] in "LM":
                 low = c.lower()
-                table[i] = ord(low) if len(low) == 1 else i
+                table[i] = (ord(low) if len(low) == 1 else i) + MARKS * (unicodedata.category(c)[0] == "M")
         _fold_table.append(table)
     return _fold_table[0][points]
 
@@ -61,7 +63,7 @@ def bundles(texts: list[str | None], seed: int = 1) -> tuple[np.ndarray, np.ndar
     counted first and their vectors made once for all texts together.
     """
     streams = [_stream(t or "") for t in texts]
-    has = np.array([bool(s.any()) for s in streams], bool)
+    has = np.array([bool(((s > 0) & (s < MARKS)).any()) for s in streams], bool)
     letters, flat = np.unique(np.concatenate([np.zeros(1, np.int32), *streams]), return_inverse=True)
     flat, base = flat[1:].astype(np.int64), len(letters)
     sizes = np.array([len(s) for s in streams])
