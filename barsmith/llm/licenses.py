@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,12 @@ TEMPLATES = (
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 )
+#: Whole licence texts, one file each, named by the licence.
+TEMPLATES += tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licences").glob("*.txt")))
+#: Words that make another licence of a like text: a stretch must hold just those of its template.
+MODIFIERS = {"lesser", "affero", "noncommercial", "sharealike", "noderivatives", "nc", "sa", "nd"}
+#: Numbers in templates of at most so many words are versions, which a stretch must hold; longer ones number their clauses.
+NOTICE = 120
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,16 +67,23 @@ def normal_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def versions(words: list[str]) -> set[str]:
+    """The version numbers that a template's words name."""
+    return {w for w in words if w.isdigit()} if len(words) <= NOTICE else set()
+
+
 class Scanner:
     """Finds, for each template, the stretch of a text with the largest Dice coefficient of word bigrams."""
 
     def __init__(self, templates: tuple = TEMPLATES, least: float = LEAST):
         self.least = least
         self.words: dict[str, int] = {}
-        self.templates = []
+        self.templates, self.marks = [], []
         for name, text in templates:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in normal_words(text)]
+            held = normal_words(text)
+            ids = [self.words.setdefault(w, len(self.words) + 1) for w in held]
             self.templates.append((name, ids))
+            self.marks.append((versions(held), MODIFIERS & set(held)))
         self.base = len(self.words) + 1
         self.templates = [(name, Counter(a * self.base + b for a, b in zip(ids, ids[1:], strict=False))) for name, ids in self.templates]
         self.sizes = [bag.total() for _, bag in self.templates]
@@ -80,7 +94,8 @@ class Scanner:
 
         A stretch of n bigrams can reach it only if n lies between b*least/(2-least) and b*(2-least)/least for a template
         of b, and shares least*(n+b)/2 of them or more: templates and stretches outside these bounds are left out, and a
-        best stretch starts and ends with a shared bigram, so nothing else is lost.
+        best stretch starts and ends with a shared bigram, so nothing else is lost. A stretch must hold its template's
+        version numbers and just its modifiers.
         """
         words = normal_words(text or "")
         if len(words) < 2:
@@ -101,8 +116,11 @@ class Scanner:
             if len(mine) < need:
                 continue
             ends = np.searchsorted(mine, mine + high, side="left")
-            best = None
+            best, (numbers, modifiers) = None, self.marks[t]
             for k in np.flatnonzero(ends - np.arange(len(mine)) >= need).tolist():
+                most = min(b, int(ends[k]) - k)
+                if best and 2 * most / (most + b) <= best[0]:
+                    continue  # no stretch from here can be better
                 left, shared = dict(bag), 0
                 for j in range(k, int(ends[k])):
                     c = int(codes[mine[j]])
@@ -111,7 +129,9 @@ class Scanner:
                         shared += 1
                     n = int(mine[j] - mine[k]) + 1
                     if n >= low and (dice := 2 * shared / (n + b)) >= self.least and (best is None or dice > best[0]):
-                        best = (dice, int(mine[k]), n + 1, t)
+                        held = set(words[int(mine[k]) : int(mine[k]) + n + 1])
+                        if numbers <= held and MODIFIERS & held == modifiers:
+                            best = (dice, int(mine[k]), n + 1, t)
             if best:
                 out.append(best)
         return out
