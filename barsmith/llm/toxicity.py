@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +14,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read
+from .common import fold, materialise, read
 
 #: Bounds of the training sample: documents of either label, and the characters of one of them.
 SAMPLE, SAMPLE_CHARS = 3000, 100_000
+#: Characters of all of them together that reach the driver, about; windows of ordinary text that the common dictionary is trained on.
+TOTAL_CHARS, COMMON_WINDOWS = 40_000_000, 100_000
 #: Words in a window, bytes of the common dictionary and of a contrast dictionary, letters of a gram.
 WINDOW, COMMON, CONTRAST, GRAM = 12, 32_768, 16_384, 5
+#: Parts of the sample, each measured with dictionaries of the others for the calibration.
+PARTS = 3
 #: Ordinary words whose grams training holds at once.
 WORDS_HELD = 100_000
 #: Two bytes between words, so that a match of 7 bytes holds the start or the end of a short word.
@@ -119,7 +123,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
             chosen.append(span.replace(b" ", GAP))
             size += len(chosen[-1])
     marked = GAP.join(reversed(chosen))
-    samples = list(islice((x for t in ordinary for x in _lines(t)), 40_000))
+    samples = heapq.nsmallest(COMMON_WINDOWS, (x for t in ordinary for x in _lines(t)), key=zlib.crc32)
     try:
         common = zstandard.train_dictionary(COMMON, samples, k=32, d=8).as_bytes()[-COMMON:]
     except zstandard.ZstdError:  # too few samples to train on: their text itself
@@ -148,30 +152,35 @@ def _sketch(text: str) -> int:
 def train(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from at most about ``sample`` documents of either label, chosen by a hash of the id, of up to ``sample_chars`` characters.
 
-    Only the chosen ids are broadcast and only their
-    texts reach the driver. Labels other than 0 and 1 and null ids are left out; of repeated ids the larger label counts.
+    Only the chosen ids are broadcast (about 2 * ``sample``) and only their texts reach the driver, about TOTAL_CHARS of
+    them at most, fewer documents being chosen by the same hash where they are longer. Labels other than 0 and 1 and null
+    ids are left out; of repeated ids the larger label and the least text count; without labels the model knows nothing.
     """
-    one = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id_")).agg(F.max(label_col).alias("y_"))
-    n = {r["y_"]: r["n"] for r in one.groupBy("y_").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y_") == 1, sample / max(n.get(1, 0), 1)).otherwise(sample / max(n.get(0, 0), 1))
-    one = one.filter((F.pmod(F.xxhash64("id_"), F.lit(1 << 20)) < share * (1 << 20)) & F.col("id_").isNotNull())
-    found = texts.join(F.broadcast(one.limit(3 * sample)), F.col(id_col) == F.col("id_")).filter(F.length(text_col) <= sample_chars)
-    rows = sorted(found.select("id_", F.col(text_col).alias("t"), "y_").collect(), key=lambda r: (r["id_"], r["t"]))
+    one = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    n = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
+    share = F.when(F.col("y") == 1, sample / max(n.get(1, 0), 1)).otherwise(sample / max(n.get(0, 0), 1))
+    one = one.filter((place < share) & F.col("id").isNotNull()).select("id", "y", (place / share).alias("place"))
+    short = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter(F.length("t") <= sample_chars)
+    found = materialise(short.join(F.broadcast(one), "id").groupBy("id", "y", "place").agg(F.min("t").alias("t")), "toxicity-sample")
+    chars = found.agg(F.sum(F.length("t"))).first()[0] or 0
+    rows = sorted(found.filter(F.col("place") * chars <= TOTAL_CHARS).select("id", "t", "y").collect(), key=lambda r: (r["id"], r["t"]))
     rows = list({_sketch(r["t"]): r for r in reversed(rows)}.values())
-    sides = [([r["t"] for r in rows[k::2] if r["y_"] == 1], [r["t"] for r in rows[k::2] if r["y_"] == 0]) for k in (0, 1)]
-    return calibrated(sides, math.log(max(n.get(0, 0), 1) / max(n.get(1, 0), 1)))
+    parts = [([r["t"] for r in rows[k::PARTS] if r["y"] == 1], [r["t"] for r in rows[k::PARTS] if r["y"] == 0]) for k in range(PARTS)]
+    return calibrated(parts, math.log(max(n.get(0, 0), 1) / max(n.get(1, 0), 1)))
 
 
-def calibrated(halves: list[tuple[list[str], list[str]]], log_odds: float) -> Model:
-    """Two halves of (toxic, ordinary) texts: each is measured with the dictionaries of the other to fit the calibration;
-    the model's own dictionaries come from both. ``log_odds``: of ordinary to toxic where the model will be used."""
+def calibrated(parts: list[tuple[list[str], list[str]]], log_odds: float) -> Model:
+    """Parts of (toxic, ordinary) texts: each is measured with the dictionaries of the others to fit the calibration; the
+    model's own dictionaries come from all. ``log_odds``: of ordinary to toxic where the model will be used."""
     x, y = [], []
-    for k in (0, 1):
-        scorer = Scorer(*train_dictionaries(*halves[1 - k]))
+    for k, part in enumerate(parts):
+        others = parts[:k] + parts[k + 1 :]
+        scorer = Scorer(*train_dictionaries([t for p in others for t in p[0]], [t for p in others for t in p[1]]))
         for label in (0, 1):
-            x += [scorer.features(t) for t in halves[k][1 - label]]
-            y += [float(label)] * len(halves[k][1 - label])
-    toxic, ordinary = train_dictionaries(halves[0][0] + halves[1][0], halves[0][1] + halves[1][1])
+            x += [scorer.features(t) for t in part[1 - label]]
+            y += [float(label)] * len(part[1 - label])
+    toxic, ordinary = train_dictionaries([t for p in parts for t in p[0]], [t for p in parts for t in p[1]])
     mean, scale, weight = _fit(np.array(x or [[0.0] * 11]), np.array(y or [0.0]))
     shift = log_odds - math.log((len(y) - sum(y)) / sum(y)) if 0 < sum(y) < len(y) else 0.0
     return Model(toxic, ordinary, mean, scale, (*weight[:-1], weight[-1] - shift))
@@ -200,7 +209,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """The documents that score below ``limit``, with all their columns; scored in the batches that carry them, without a join."""
+    """The documents that score below ``limit``, with all their columns; scored in the batches that carry them, without a join.
+
+    Null and empty texts score as texts without windows, repeated rows alike; an empty table gives an empty one.
+    """
 
     def work(batches):
         scorer, w = Scorer(model.toxic, model.ordinary), np.array(model.weight)
