@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +17,8 @@ from .common import let, materialise, read, word_count, words
 BLOCK, WEIGHTS, MAX_SOURCES = 128, (3, 1, 2), 100_000
 #: Slots that one row of the dealing plan expands to at most.
 SPREAD = 1 << 16
+#: Slots that one task expands to, about.
+TASK_SLOTS = 1 << 20
 
 
 def source_targets(sizes: list[int], weights: list[float], share: float = 1.5, ceiling: float = 2.0) -> list[float]:
@@ -67,12 +70,11 @@ def _key(seed: int, source: int, turn: int) -> int:
     return (seed * 0x2545F491 + source * 0x9E3779B1 + turn * 0x85EBCA6B + 1) & 0x7FFFFFFFFFFF
 
 
-def dealing_plan(sizes: list[int], targets: list[float], block: int, seed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(per source: blocks, slots, trimmed words of its last slot), (per shard and source: slots drawn and the first one's number).
+def source_slots(sizes: list[int], targets: list[float], block: int, seed: int) -> pd.DataFrame:
+    """Per source: its blocks, its slots, and the words trimmed of its last slot.
 
     A source gives floor(target / size) whole turns of its blocks and a last turn up to its target, whose last slot is
-    trimmed to the word. The shards' source counts are multinomial draws by what each source still has to give, so they
-    vary between shards while every source's total is exact.
+    trimmed to the word.
     """
     rows = []
     for s, (size, target) in enumerate(zip(sizes, targets, strict=True)):
@@ -88,19 +90,29 @@ def dealing_plan(sizes: list[int], targets: list[float], block: int, seed: int)
         m += given(m) < rest
         last = short if (at == m - 1 if m else permute([nb - 1], [nb], [_key(seed, s, turns - 1)])[0] == nb - 1) else block
         rows.append((s, nb, turns * nb + m, (last - (given(m) - rest)) if m else 0))
-    per_source = pd.DataFrame(rows, columns=["sid", "blocks", "slots", "trim"])
-    left = per_source["slots"].to_numpy().astype(np.int64).copy()
-    n, rng, plan, first = int(left.sum()), np.random.Generator(np.random.PCG64(seed)), [], np.zeros(len(left), np.int64)
-    shards = max(1, math.ceil(n**0.4))
-    for shard in range(shards):
-        room = min(int(left.sum()), n * (shard + 1) // shards - n * shard // shards)
-        drawn = np.zeros(len(left), np.int64)
-        while (missing := room - int(drawn.sum())) > 0:
-            open_ = (left - drawn).astype(float)
-            drawn = np.minimum(left, drawn + rng.multinomial(missing, open_ / open_.sum()))
-        plan += [(shard, s, int(c), int(first[s])) for s, c in enumerate(drawn) if c]
-        first, left = first + drawn, left - drawn
-    return per_source, pd.DataFrame(plan, columns=["shard", "sid", "n", "first"])
+    return pd.DataFrame(rows, columns=["sid", "blocks", "slots", "trim"])
+
+
+def shard_counts(slots: int, shards: int, seed: int, sid: int) -> np.ndarray:
+    """How many of a source's slots each output shard gets: a multinomial draw, so counts vary while the total is exact."""
+    return np.random.Generator(np.random.PCG64([seed, sid])).multinomial(slots, np.full(shards, 1 / shards))
+
+
+def dealing_plan(per_source: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(shard, sid, n, first) of ``per_source(sid, slots)``: the slots that a shard draws of a source and the first one's number.
+
+    A task draws for one source at a time; the draws never reach the driver.
+    """
+
+    def work(batches):
+        for batch in batches:
+            for sid, slots in zip(batch.column("sid").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+                n = shard_counts(slots, shards, seed, sid)
+                got = np.flatnonzero(n)
+                cols = [pa.array(got, pa.int32()), pa.array(np.full(len(got), sid), pa.int32()), pa.array(n[got], pa.int64()), pa.array((np.cumsum(n) - n)[got], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "sid", "n", "first"])
+
+    return per_source.select("sid", "slots").mapInArrow(work, "shard int, sid int, n long, first long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.5, ceiling: float = 2.0, block: int = BLOCK, seed: int = 7, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +124,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     tasks. The running word positions come from two levels of sums: over about sqrt(documents) groups of a source, then
     inside each. No block is taken over ``ceil(ceiling)`` times. Null texts have size 0 and are never taken, a null
     source counts as one source, sorted last; repeated rows are documents of their own; an empty table gives empty ones.
-    Only the list of sources (at most MAX_SOURCES, checked) reaches the driver.
+    Only the list of sources (at most MAX_SOURCES, checked) reaches the driver; shards draw on the executors.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.col(id_col), F.col(text_col))
@@ -124,7 +136,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in totals]
     targets = source_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, ceiling)
-    per_source, plan = dealing_plan(sizes, targets, block, seed)
+    per_source = source_slots(sizes, targets, block, seed)
+    total = int(per_source["slots"].sum())
     known = [(i, r["source"], r["size"], float(targets[i]), math.isqrt(r["n"]) + 1) for i, r in enumerate(totals)]
     sources = F.broadcast(spark.createDataFrame(known, "sid int, source_ string, source_size long, target double, groups int"))
     rows = rows.join(sources, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
@@ -138,9 +151,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = spans.select("*", F.explode(F.expr(f"sequence(start div {block}, (stop - 1) div {block})")).alias("block"))
     pieces = pieces.select("sid", "block", "rid", "start", F.greatest("start", F.col("block") * block).alias("lo"), F.least("stop", (F.col("block") + 1) * block).alias("hi"))
 
-    facts = F.broadcast(spark.createDataFrame(per_source if len(per_source) else pd.DataFrame(columns=per_source.columns), "sid int, blocks long, slots long, trim long"))
-    dealt = spark.createDataFrame(plan if len(plan) else pd.DataFrame(columns=plan.columns), "shard int, sid int, n long, first long")
-    dealt = dealt.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {SPREAD})")).alias("part")).repartition("shard", "sid", "part")
+    facts = spark.createDataFrame(per_source if len(per_source) else pd.DataFrame(columns=per_source.columns), "sid int, blocks long, slots long, trim long")
+    dealt = dealing_plan(facts, max(1, math.ceil(total**0.4)), seed)
+    facts = F.broadcast(facts)
+    # an explicit number of partitions, which adaptive execution leaves alone: the plan is tiny, what it expands to is not
+    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_SLOTS + 1)
+    dealt = dealt.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {SPREAD})")).alias("part")).repartition(tasks, "shard", "sid", "part")
     dealt = dealt.select("shard", "sid", F.explode(F.expr(f"sequence(first + part * {SPREAD}, first + least(n, (part + 1) * {SPREAD}) - 1)")).alias("i"))
     dealt = dealt.join(facts, "sid").withColumn("turn", F.expr("i div blocks"))
 
@@ -168,6 +184,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix as documents with the columns of ``docs``: a row per document and turn, its text the words taken in that turn.
 
     A text taken whole stays as it is; otherwise the spans' words are joined by spaces. n_chars, if present, follows.
+    Null and wordless texts are never taken, a null source is one source; repeated rows are documents of their own; an
+    empty table gives an empty one.
     """
     rows, takes = mix(docs, id_col, text_col, source_col, keep=tuple(docs.columns))
     parts = takes.groupBy(F.col("rid").alias("rid_"), "turn").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
