@@ -17,6 +17,10 @@ MIN_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 #: Parts that a hot digest's rows are dealt to in the join that finds its original.
 SALTS = 16
+#: Originals that are sent to every task instead of shuffling the records to them; about 10 MB.
+MOST_SENT = 50_000
+#: A gzip member of nothing, as Latin-1 text: it cannot be in a member's UTF-8 literals, and by chance nowhere.
+EMPTY = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -38,12 +42,17 @@ def originals(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 def resolve(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``records`` with record_type and refers_to (and refers_url): copies of a payload revisit its original.
 
-    Originals are repeated for each of SALTS salts and records dealt to a salt by their id, so no digest meets in one task.
+    Headers alone find the originals. Where there are at most MOST_SENT of them they are sent to the records, which then
+    stay where they are; else records are dealt to a salt by their id and meet the originals repeated for each of SALTS
+    salts, so that no digest meets in one task.
     """
-    first = originals(records, min_bytes).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    first = first.withColumnRenamed("payload_digest", "digest_").withColumnRenamed("salt", "salt_")
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS))
-    joined = records.join(first, (F.col("payload_digest") == F.col("digest_")) & (salt == F.col("salt_")), "left")
+    first = materialise(originals(records, min_bytes), "originals").withColumnRenamed("payload_digest", "digest_")
+    same = F.col("payload_digest") == F.col("digest_")
+    if first.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        joined = records.join(F.broadcast(first), same, "left")
+    else:
+        first = first.withColumn("salt_", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        joined = records.join(first, same & (F.pmod(F.xxhash64("page_id"), F.lit(SALTS)) == F.col("salt_")), "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= min_bytes)
     return joined.select(*records.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
@@ -53,10 +62,17 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
+def _gzip(data: bytes) -> bytes:
+    """A gzip member with no time in it, so that reruns agree."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return deflate.compress(data) + deflate.flush()
+
+
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write resolved records as gzip WARC/1.1 files under ``path``, one per task, by Spark's committed text output.
+    """Write resolved records as WARC/1.1 files under ``path``, one per task, a gzip member per record, by Spark's committed text output.
 
-    Revisits hold headers only. The line end of the text output, two CRLFs, is a record's own end.
+    Revisits hold headers only. The line end of the text output is an empty gzip member, so a file is members throughout
+    and readers can seek to any of them; a file grows with what its task read (spark.sql.files.maxPartitionBytes).
     """
     revisit = F.col("record_type") == "revisit"
     url = F.regexp_replace(F.col("url"), r"[\r\n\x00-\x20]", "%20")
@@ -84,7 +100,13 @@ def write_archives(records: DataFrame, path: str) -> None:
         F.lit("\r\n"),
         block,
     ]
-    records.select(F.concat(*head).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_gzip(r.as_py()) for r in batch.column(0)], pa.binary())], ["member"])
+
+    members = records.select(F.concat(*head, F.lit("\r\n\r\n")).cast("binary").alias("record")).mapInArrow(pack, "member binary")
+    members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY).text(path)
 
 
 def parse(stream, chunk: int = 1 << 20):
@@ -123,43 +145,25 @@ def parse(stream, chunk: int = 1 << 20):
         yield headers, len(payload), hashlib.sha1(payload).hexdigest()
 
 
-class _Gzip(io.RawIOBase):
-    """Decompresses a gzip file of one or many members as it is read."""
-
-    def __init__(self, data: bytes):
-        self.data, self.inflate = memoryview(data), zlib.decompressobj(31)
-
-    def read(self, n: int = -1) -> bytes:
-        out = b""
-        while not out and (self.inflate.unconsumed_tail or self.inflate.unused_data or len(self.data)):
-            if self.inflate.eof:
-                self.data = memoryview(self.inflate.unused_data + bytes(self.data)) if self.inflate.unused_data else self.data
-                self.inflate = zlib.decompressobj(31)
-            give = self.inflate.unconsumed_tail
-            if not give:
-                give, self.data = bytes(self.data[: 1 << 18]), self.data[1 << 18 :]
-            out = self.inflate.decompress(give, max(n, 1))
-        return out
-
-
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record_id, record_type, refers_id, header_digest, payload_bytes, payload_digest) of every record under ``path``.
 
-    Bytes and digest are recomputed from what the archive holds: of a revisit, nothing. A file streams through its parser.
+    Bytes and digest are recomputed from what the archive holds: of a revisit, nothing. Files are split between members
+    and stream through the tasks member by member.
     """
 
     def work(batches):
         for batch in batches:
             rows = []
-            for blob in batch.column(0):
-                for h, n, digest in parse(_Gzip(blob.as_py())):
+            for member in batch.column(0):
+                for h, n, digest in parse(io.BytesIO(zlib.decompress(member.as_py(), 31))):
                     rows.append((int(h["X-Page-ID"]) if "X-Page-ID" in h else None, h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Refers-To"), h["WARC-Payload-Digest"].removeprefix("sha1:"), n, digest))
             cols = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "record_id", "record_type", "refers_id", "header_digest", "payload_bytes", "payload_digest"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(work, "page_id long, record_id string, record_type string, refers_id string, header_digest string, payload_bytes long, payload_digest string")
+    members = spark.read.option("encoding", "ISO-8859-1").option("lineSep", EMPTY).text(path)
+    return members.select(F.col("value").cast("binary")).mapInArrow(work, "page_id long, record_id string, record_type string, refers_id string, header_digest string, payload_bytes long, payload_digest string")
 
 
 def resolved_headers(records: DataFrame) -> DataFrame:

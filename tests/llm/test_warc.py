@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import glob
 import gzip
 import hashlib
 import io
+import zlib
 
 from barsmith.llm import warc as R
 from barsmith.llm.common import fresh_path, read
@@ -38,13 +40,29 @@ def test_query_by_brute_force(spark):
     assert sorted(map(tuple, R.op7_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == expected(rows)
 
 
-def test_parser_reads_members_and_small_chunks():
-    rec = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhello\r\n\r\n"
-    data = gzip.compress(rec) + gzip.compress(rec)
-    assert [x[1] for x in R.parse(R._Gzip(data), chunk=7)] == [5, 5]
+def test_archives_are_members_that_any_gzip_reader_takes(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    path = fresh_path(spark, "warc-members")
+    R.deduplicate(pages, path)
+    found = 0
+    for name in glob.glob(path.removeprefix("file://") + "/part-*"):
+        data = open(name, "rb").read()
+        records = [zlib.decompress(m, 31) for m in data.split(R.EMPTY.encode("latin-1")) if m]
+        assert all(r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") for r in records)
+        assert gzip.decompress(data) == b"".join(records) if data else not records
+        assert sum(1 for _ in R.parse(io.BytesIO(b"".join(records)), chunk=7)) == len(records)
+        found += len(records)
+    assert found == len(PAGES)
     assert list(R.parse(io.BytesIO(b""))) == []
 
 
+def test_many_originals_meet_their_records_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_SENT", 0)
+    path = fresh_path(spark, "warc-salted")
+    R.deduplicate(spark.createDataFrame(PAGES, "page_id long, url string, html string"), path)
+    assert sorted(map(tuple, R.resolved_headers(R.read_archives(spark, path)).collect()), key=str) == expected(PAGES)
+
+
 def test_empty(spark):
     path = fresh_path(spark, "warc-none")
     R.deduplicate(spark.createDataFrame([], "page_id long, url string, html string"), path)
