@@ -136,20 +136,23 @@ def _verdicts(table: DataFrame, frequent: DataFrame, max_lost: float) -> DataFra
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The kept documents, without their frequent lines, with the columns of ``docs``; n_chars, if present, follows the text.
 
-    Verdicts come back to the texts by id, host and text hash; rows that agree in these agree in their verdict.
+    Verdicts come back to the texts by id, host and text hash; rows that agree in these agree in their verdict. Null and
+    empty texts go, a null host is a host of its own, repeated rows stay or go alike; an empty table gives an empty one.
     """
     key = docs.select(F.struct(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("key"), F.col(host_col).alias("h0"), F.col(text_col).alias("t0"))
     table = line_table(key, "key", "t0", "h0")
     verdict = _verdicts(table, frequent_lines(table), MAX_LOST).filter("kept")
     verdict = verdict.groupBy(F.col("id").alias("key_"), F.col("host").alias("host_")).agg(F.first("lost_lines").alias("gone_"))
-    keyed = docs.withColumn("hash_", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col(f"key_.{id_col}")) & (F.col("hash_") == F.col("key_.col2")) & F.col(host_col).eqNullSafe(F.col("host_"))
+    row, text = lambda c: F.col(f"row.{c}"), F.col("row").getField(text_col)
+    keyed = docs.select(F.struct("*").alias("row")).withColumn("hash_", F.xxhash64(F.coalesce(text, F.lit(""))))
+    same = row(id_col).eqNullSafe(F.col(f"key_.{id_col}")) & (F.col("hash_") == F.col("key_.col2")) & row(host_col).eqNullSafe(F.col("host_"))
     found = keyed.join(verdict, same)
-    cut = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("gone_", F.xxhash64(_normal(x)))), "\n")
-    found = found.withColumn(text_col, F.when(F.col("gone_").isNull() | (F.size("gone_") == 0), F.col(text_col)).otherwise(cut))
+    cut = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("gone_", F.xxhash64(_normal(x)))), "\n")
+    found = found.withColumn("text_", F.when(F.col("gone_").isNull() | (F.size("gone_") == 0), text).otherwise(cut))
+    out = {c: row(c) for c in docs.columns} | {text_col: F.col("text_")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"]))
-    return found.select(*docs.columns)
+        out["n_chars"] = F.length("text_").cast(dict(docs.dtypes)["n_chars"])
+    return found.select(*[v.alias(c) for c, v in out.items()])
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

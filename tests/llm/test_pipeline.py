@@ -7,11 +7,13 @@ import hashlib
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from barsmith.llm import bpe, quality, simhash
 from barsmith.llm.common import materialise, read
 
+from .edges import edge
 from .test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +65,16 @@ def test_tokens(stages):
 def test_run(spark, stages):
     assert C.run(spark, SF).count() == stages["tokens"].count()
     assert simhash is not None
+
+
+def test_stages_take_awkward_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table, and columns named as the stages' own."""
+    extra = {c: F.lit(1) for c in ("rid_", "row", "hash_", "gone_", "key_", "host_", "text_", "group_", "id_", "y", "place", "keep_", "shard", "sid", "slot")}
+    table = edge(spark).withColumns(extra)
+    for docs in (table, table.limit(0)):
+        n = docs.count()
+        for name, stage in C.STAGES:
+            out = stage(spark, docs, SF)
+            rows = out.collect()
+            assert name == "tokens" or out.columns == docs.columns
+            assert (len(rows) == n) if name == "tokens" else (n or not rows)
