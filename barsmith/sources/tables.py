@@ -25,8 +25,11 @@ def _own_dir() -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, which driver and executors share; a folder of this process's own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """A new path in ``spark.checkpoint.dir``, which driver and executors share; unset, in a folder of this process's own in local mode, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or _own_dir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
