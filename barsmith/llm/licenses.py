@@ -59,6 +59,8 @@ TEMPLATES += tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).paren
 MODIFIERS = {"lesser", "affero", "noncommercial", "sharealike", "noderivatives", "nc", "sa", "nd"}
 #: Numbers in templates of at most so many words are versions, which a stretch must hold; longer ones number their clauses.
 NOTICE = 120
+#: Templates of more bigrams are whole licences, whose bigrams are sought only in texts that hold enough of their words.
+LONG = 400
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -87,7 +89,8 @@ class Scanner:
         self.base = len(self.words) + 1
         self.templates = [(name, Counter(a * self.base + b for a, b in zip(ids, ids[1:], strict=False))) for name, ids in self.templates]
         self.sizes = [bag.total() for _, bag in self.templates]
-        self.codes = np.unique([c for _, bag in self.templates for c in bag])
+        self.keys = [np.array(sorted(bag), np.int64) for _, bag in self.templates]
+        self.codes = [np.unique(np.concatenate([k for k, n in zip(self.keys, self.sizes, strict=True) if (n > LONG) == long] or [np.zeros(0, np.int64)])) for long in (False, True)]
 
     def scan(self, text: str | None) -> list[tuple[float, int, int, int]]:
         """(Dice, first word, words, template) of each template's best stretch, if it reaches ``least``.
@@ -103,16 +106,22 @@ class Scanner:
         get = self.words.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         codes = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * self.base + ids[1:], -1)
-        places = np.flatnonzero(codes >= 0)
-        places = places[np.isin(codes[places], self.codes)]
+        known = np.flatnonzero(codes >= 0)
+        places = known[np.isin(codes[known], self.codes[0])]
+        whole = None
         out = []
         for t, (_, bag) in enumerate(self.templates):
             b = bag.total()
             low, high = int(np.ceil(b * self.least / (2 - self.least) - 1e-9)), int(b * (2 - self.least) / self.least + 1e-9)
             need = int(np.ceil(self.least * (low + b) / 2 - 1e-9))
-            if len(places) < need:
+            at = places
+            if b > LONG:
+                if len(known) < need:
+                    continue
+                at = whole = known[np.isin(codes[known], self.codes[1])] if whole is None else whole
+            if len(at) < need:
                 continue
-            mine = places[np.isin(codes[places], np.fromiter(bag, np.int64))]
+            mine = at[np.isin(codes[at], self.keys[t])]
             if len(mine) < need:
                 continue
             ends = np.searchsorted(mine, mine + high, side="left")
