@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-#: Entries kept in a worker's caches before they are emptied (about 100 MB); results do not depend on them.
-CACHE = 300_000
+#: Entries kept in a worker's caches before they are emptied (about 150 MB in all); results do not depend on them.
+CACHE = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -123,7 +123,7 @@ class Codec:
         key = left << 32 | right
         known = self.joins.get(key)
         if known is None:
-            if len(self.joins) > 4 * CACHE:
+            if len(self.joins) > 2 * CACHE:
                 self.joins.clear()
             known = self.joins[key] = self._apart(left, right)
         return known
@@ -205,6 +205,7 @@ def _broadcast(spark: SparkSession, ranks_path: str):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id, ids array, n_tokens, ids_sha256, decoded_sha256), a row per input row; a null text is empty and has no ids.
 
+    ``pattern`` must not match across a space from other characters than white space (see Codec.encode).
     Each batch streams through one worker whose caches are bounded; nothing is shuffled. Repeated rows give repeated
     rows; other columns are not read. The vocabulary file (about 1 MB) is broadcast. ``keep_ids=False`` leaves ids out.
     """
