@@ -160,13 +160,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = dealt.select("shard", "sid", F.explode(F.expr(f"sequence(first + part * {SPREAD}, first + least(n, (part + 1) * {SPREAD}) - 1)")).alias("i"))
     dealt = dealt.join(facts, "sid").withColumn("turn", F.expr("i div blocks"))
 
-    @F.pandas_udf("long")
-    def place(i: pd.Series, n: pd.Series, sid: pd.Series, turn: pd.Series) -> pd.Series:
-        keys = [_key(seed, s, t) for s, t in zip(sid.tolist(), turn.tolist(), strict=True)]
-        return pd.Series(permute(i.to_numpy(), n.to_numpy(), np.array(keys, np.uint64)))
-
-    take = F.when((F.col("i") == F.col("slots") - 1) & (F.col("trim") > 0), F.col("trim")).otherwise(F.lit(block))
-    slots = dealt.select("shard", F.col("i").alias("slot"), "sid", "turn", place(F.expr("i % blocks"), "blocks", "sid", "turn").alias("block"), take.alias("take"))
+    def place(batches):
+        for batch in batches:
+            i, blocks = batch.column("slot").to_numpy(), batch.column("blocks").to_numpy()
+            keys = [_key(seed, s, t) for s, t in zip(batch.column("sid").to_pylist(), batch.column("turn").to_pylist(), strict=True)]
+            at = permute(i % np.maximum(blocks, 1), blocks, np.array(keys, np.uint64))
+            cols = [batch.column("shard"), batch.column("slot"), batch.column("sid"), batch.column("turn"), pa.array(at), batch.column("take")]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "slot", "sid", "turn", "block", "take"])
+
+    take = F.when((F.col("i") == F.col("slots") - 1) & (F.col("trim") > 0), F.col("trim")).otherwise(F.lit(block)).cast("long")
+    # a map and not a function: a filter on the function's result would run it once more, in a second worker of the task
+    slots = dealt.select("shard", F.col("i").alias("slot"), "sid", F.col("turn").cast("long").alias("turn"), "blocks", take.alias("take"))
+    slots = slots.mapInArrow(place, "shard int, slot long, sid int, turn long, block long, take long")
     upto = F.least("hi", F.col("block") * block + F.col("take"))
     takes = pieces.join(slots, ["sid", "block"]).filter(upto > F.col("lo"))
     takes = takes.select("rid", "shard", "slot", "turn", (F.col("lo") - F.col("start")).alias("lo"), (upto - F.col("start")).alias("hi"))
