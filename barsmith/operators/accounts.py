@@ -9,9 +9,9 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import MIN_STAKE
 from .indicators import prior
@@ -155,8 +155,9 @@ def gaussian_regimes(x: np.ndarray, guess: np.ndarray, rounds: int = 50, tol: fl
     return out
 
 
-def regimes(df: DataFrame, features: list[str], slope: str = "slope", fit_bars: int = 5000) -> DataFrame:
-    """``df`` with ``up``: the state whose median slope is larger. Each symbol's model starts from a median split of its slope."""
+def regimes(df: DataFrame, features: list[str], slope: str = "slope") -> DataFrame:
+    """``df`` with ``up``: the state whose median slope is larger. Each symbol's model starts from a median split of its slope
+    and is fitted to its whole series, so a bar's state looks ahead."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", ignore_index=True)
@@ -176,7 +177,8 @@ def regimes(df: DataFrame, features: list[str], slope: str = "slope", fit_bars:
 def cash_replay(df: DataFrame, fund: float = 1000.0, most: float = 1000.0, compat: bool = False) -> DataFrame:
     """(symbol, ts, income, invested, fund) of a cash account over signal rows (ts, profit, matured, time_cost, kelly).
 
-    Stakes whose exit is known pay out at maturity; a stake without one is not invested (``compat``: it is, and lost when
+    Stakes whose exit is known pay out at maturity; those still due after the last row pay in a row of their own, at the
+    last of their maturities; a stake without one is not invested (``compat``: it is, and lost when
     time_cost is 0). Pay-outs wait in a heap; rows are one per signal bar.
     """
 
@@ -193,10 +195,12 @@ def cash_replay(df: DataFrame, fund: float = 1000.0, most: float = 1000.0, compa
             if stake and known:
                 heapq.heappush(due, (matured, stake * (1 + profit)))
             cash -= stake
-            rows.append((income, stake, cash))
-        out = pdf[["symbol", "ts"]].copy()
-        out[["income", "invested", "fund"]] = rows
-        return out
+            rows.append((ts, income, stake, cash))
+        if due:
+            left = sum(p for _, p in due)
+            rows.append((max(m for m, _ in due), left, 0.0, cash + left))
+        out = pd.DataFrame(rows, columns=["ts", "income", "invested", "fund"])
+        return out.assign(symbol=pdf["symbol"].iloc[0])[["symbol", "ts", "income", "invested", "fund"]]
 
     cols = ["symbol", "ts", "profit", "matured", "time_cost", "kelly"]
     return df.select(cols).groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp_ntz, income double, invested double, fund double")
@@ -219,28 +223,36 @@ def fill_step(held: float, avg: float, cash: float, buy: bool, position: float,
     return held - sold, avg, cash + sold * price, price / avg - 1 if sold > 0 else float("nan")
 
 
-def account_fold(position: np.ndarray, price: np.ndarray, buy: np.ndarray) -> np.ndarray:
-    """(held, average cost, cash, realised profit) after each fill of a series."""
-    out, now = np.zeros((len(position), 4)), (0.0, 0.0, 0.0)
-    for i, fill in enumerate(zip(buy.tolist(), position.tolist(), price.tolist(), strict=True)):
-        out[i] = fill_step(*now, *fill)
-        now = tuple(out[i, :3].tolist())
-    return out
-
-
 def fill_ledger(fills: DataFrame, keys: tuple = ("symbol",), order: str = "seq") -> DataFrame:
-    """Running position, average cost, cash and realised profit of each symbol's fills in order."""
-    numbered = fills.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    cols = [*keys, "rn", "side", "position", "price", "time"]
-    kinds = dict(numbered.select(cols).dtypes)
+    """Running position, average cost, cash and realised profit of each symbol's fills in order.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", ignore_index=True)
-        held, avg, cash, profit = account_fold(pdf["position"].to_numpy(float), pdf["price"].to_numpy(float), (pdf["side"] == "buy").to_numpy()).T
-        return pdf.assign(held=held, avg_cost=avg, profit=profit, cash=cash)
-
-    out = numbered.select(cols).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", held double, avg_cost double, profit double, cash double")
-    return out.withColumn("profit", F.when(~F.isnan("profit"), F.col("profit")))
+    One shuffle by the keys and one sort; the fold runs down each sorted partition batch by batch, whatever the number of
+    series and the length of one.
+    """
+    cols = [*keys, "side", "position", "price", "time"]
+    kinds = dict(fills.select(cols).dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", rn int, held double, avg_cost double, profit double, cash double"
+
+    def run(batches):
+        key, now, rn = None, (0.0, 0.0, 0.0), 0
+        for batch in batches:
+            held, avg, cash, profit, place = ([] for _ in range(5))
+            table = [batch.column(c).to_pylist() for c in (*keys, "side", "position", "price")]
+            for *k, side, position, price in zip(*table, strict=True):
+                if k != key:
+                    key, now, rn = k, (0.0, 0.0, 0.0), 0
+                rn += 1
+                *now, gained = fill_step(*now, side == "buy", position, price)
+                held.append(now[0])
+                avg.append(now[1])
+                cash.append(now[2])
+                profit.append(None if gained != gained else gained)
+                place.append(rn)
+            got = [pa.array(place, pa.int32()), *[pa.array(x, pa.float64()) for x in (held, avg, profit, cash)]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], *got], [*cols, "rn", "held", "avg_cost", "profit", "cash"])
+
+    dealt = fills.repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.select(cols).mapInArrow(run, schema)
 
 
 STATE = {"cash": 1000.0, "position": 0.0, "avg_cost": 0.0, "cutoff": 0.0, "atr_exit": 0.0, "leave": 0.0, "target": 0.0}

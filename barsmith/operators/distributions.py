@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import TINY, evidence_weight
+from ..functions.scalars import TINY, evidence_weight, kelly
 from .indicators import series, yes
 
 
@@ -172,3 +172,12 @@ def win_updates(likes: DataFrame) -> DataFrame:
         return update_odds(pdf.sort_values("today", ignore_index=True))[["symbol", "today", "posterior"]]
 
     return likes.select("symbol", "today", "likelihood").groupBy("symbol").applyInPandas(run, "symbol string, today timestamp_ntz, posterior double")
+
+
+def with_bets(bets: DataFrame) -> DataFrame:
+    """``bets(posterior, worst, mean_gain)`` with kelly and expected profit: the margins are the trailing window's largest
+    loss (1 without one) and mean gain (0 without one)."""
+    loss = F.when(F.col("worst") <= 0, F.abs("worst")).otherwise(F.lit(1.0))
+    gain, p = F.coalesce("mean_gain", F.lit(0.0)), F.col("posterior")
+    tiny = lambda x: F.when(x == 0, F.lit(1e-30)).otherwise(x)
+    return bets.withColumns({"kelly": kelly(p, loss, gain), "expected": p * tiny(gain) - (1 - p) * tiny(loss)})

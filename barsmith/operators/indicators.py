@@ -136,17 +136,18 @@ def win_rate_trend(df: DataFrame, n: int = 60) -> DataFrame:
 def average_cumulative_return(df: DataFrame) -> DataFrame:
     """(ts, mean_return): mean over symbols of growth since their first bar, on times where every symbol has one.
 
-    Closes are filled forward on the spine of all times and symbols; two shuffles, by symbol and by time.
+    A symbol keeps its growth until its next bar, so the sum over symbols changes by each bar's change of growth: the
+    changes are summed by time, and only those sums, a row per time, run in one order. No symbol meets times it has no bar at.
     """
-    spine = df.select("ts").distinct().crossJoin(F.broadcast(df.select("symbol").distinct()))
-    filled = spine.join(df.select("symbol", "ts", "close"), ["symbol", "ts"], "left")
     close = F.last("close", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0))
-    filled = filled.withColumn("close", close)
-    first = F.first("close", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    grown = filled.withColumn("growth", F.col("close") / first - 1)
-    symbols = df.agg(F.count_distinct("symbol").alias("symbols"))
-    by_time = grown.groupBy("ts").agg(F.avg("growth").alias("mean_return"), F.count("growth").alias("present"))
-    return by_time.crossJoin(F.broadcast(symbols)).filter("present = symbols").select("ts", "mean_return")
+    first = F.first("close", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0))
+    grown = df.select("symbol", "ts", (close / first - 1).alias("growth"))
+    grown = grown.withColumns({"change": F.col("growth") - F.coalesce(prior("growth"), F.lit(0.0)), "fresh": (F.col("growth").isNotNull() & prior("growth").isNull()).cast("int")})
+    by_time = grown.groupBy("ts").agg(F.sum("change").alias("change"), F.sum("fresh").alias("fresh"), F.count("growth").alias("bars"))
+    upto = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    symbols = F.broadcast(df.agg(F.count_distinct("symbol").alias("symbols")))  # one row
+    summed = by_time.withColumns({"total": F.sum("change").over(upto), "present": F.sum("fresh").over(upto)}).crossJoin(symbols)
+    return summed.filter("present = symbols").select("ts", (F.col("total") / F.col("symbols")).alias("mean_return"))
 
 
 def trade_periods(df: DataFrame, buy: str, sell: str, least: int = 3) -> DataFrame:
@@ -178,15 +179,19 @@ def local_slope(df: DataFrame, w: int, price: str = "kalman", eps: float = 1e-8)
     return df.withColumn("local_low", low).withColumn("slope", (F.col(price) - F.col("local_low") + eps) / (2 * w))
 
 
-def regime_features(df: DataFrame, n: int = 60, least: int = 5, eps: float = 1e-8) -> DataFrame:
-    """Standardised return of the filtered price over its trailing mean, that return's mean, relative volume and slope."""
+def regime_features(df: DataFrame, n: int = 60, least: int = 5, eps: float = 1e-8, causal: bool = False) -> DataFrame:
+    """Standardised return of the filtered price over its trailing mean, that return's mean, relative volume and slope.
+
+    Leading nulls are filled backward and scores are over the whole series; ``causal``: no filling, scores so far.
+    """
     base = rolling(F.avg, F.col("kalman"), n, least=least, lagged=True)
     df = df.withColumn("kreturn", F.log(F.col("kalman") / base + eps))
     df = df.withColumns({"kreturn_vol": rolling(F.avg, F.col("kreturn"), n, least=least), "rvolume": F.log(F.col("vol") / rolling(F.avg, F.col("vol"), n, least=least) + eps)})
     back = Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     names = ["kreturn", "kreturn_vol", "rvolume", "slope"]
-    df = df.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in names})
-    whole = Window.partitionBy("symbol")
+    whole = series().rowsBetween(Window.unboundedPreceding, 0) if causal else Window.partitionBy("symbol")
+    if not causal:
+        df = df.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in names})
     return df.withColumns({f"{c}_z": F.try_divide(F.col(c) - F.avg(c).over(whole), F.stddev_pop(c).over(whole)) for c in names})
 
 
@@ -229,16 +234,22 @@ def ribbon(df: DataFrame, n: int, k: float) -> DataFrame:
     return df.withColumns({"mid": mean, "top": mean + k * dev, "bottom": mean - k * dev})
 
 
-def hysteresis(df: DataFrame, n: int = 5) -> DataFrame:
-    """Hold from a close two deviations below its mean until one above; the deviation is over the whole series."""
+def hysteresis(df: DataFrame, n: int = 5, causal: bool = False, fund: float = 1000.0) -> DataFrame:
+    """Hold from a close two deviations below its mean until one above; the deviation is over the whole series (``causal``: so far).
+
+    ``gain``: at an exit, the close less that of four bars before; ``capital``: ``fund`` compounded by gains over entry prices.
+    """
     df = df.withColumn("gap", F.col("close") - rolling(F.avg, F.col("close"), n))
-    dev = F.stddev_pop("gap").over(Window.partitionBy("symbol"))
+    dev = F.stddev_pop("gap").over(series().rowsBetween(Window.unboundedPreceding, 0) if causal else Window.partitionBy("symbol"))
     event = F.when(F.col("gap") < -2 * dev, 1).when(F.col("gap") > dev, 0)
     df = df.withColumn("event_", event)
     held = F.coalesce(F.last("event_", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     df = df.withColumn("holding", held).drop("event_")
     left = (F.coalesce(prior("holding"), F.lit(0)) == 1) & (F.col("holding") == 0)
-    return df.withColumns({"entered": (F.coalesce(prior("holding"), F.lit(0)) == 0) & (F.col("holding") == 1), "left": left, "gain": F.when(left, F.col("close") - prior("close", 4))})
+    df = df.withColumns({"entered": (F.coalesce(prior("holding"), F.lit(0)) == 0) & (F.col("holding") == 1), "left": left, "gain": F.when(left, F.col("close") - prior("close", 4))})
+    upto = series().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("growth_", 1 + F.col("gain") / F.last(F.when(F.col("entered"), F.col("close")), ignorenulls=True).over(upto))
+    return df.withColumn("capital", fund * F.coalesce(F.product("growth_").over(upto), F.lit(1.0))).drop("growth_")
 
 
 def weighted_mean(df: DataFrame, n: int = 10) -> DataFrame:
@@ -246,11 +257,13 @@ def weighted_mean(df: DataFrame, n: int = 10) -> DataFrame:
     return df.withColumn("wma", total / (n * (n + 1) / 2))
 
 
-def volatility_gate(df: DataFrame, n: int, ring: int = 10) -> DataFrame:
-    """open_: the latest deviation is at least the median of the last ``ring`` ones."""
+def volatility_gate(df: DataFrame, n: int, ring: int = 10, level: float = 5.0) -> DataFrame:
+    """open_gate: the latest deviation is at least the median of the last ``ring`` ones; then the plan has its levels
+    ``level`` deviations below and above the mean."""
     df = df.withColumns({"mean": rolling(F.avg, F.col("close"), n), "std": rolling(F.stddev_samp, F.col("close"), n)})
     median = F.percentile("std", 0.5).over(series().rowsBetween(-(ring - 1), 0))
-    return df.withColumn("open_gate", yes(F.col("std") >= median))
+    df = df.withColumn("open_gate", yes(F.col("std") >= median))
+    return df.withColumns({"buy_level": F.when(F.col("open_gate"), F.col("mean") - level * F.col("std")), "sell_level": F.when(F.col("open_gate"), F.col("mean") + level * F.col("std"))})
 
 
 def missing_bars(df: DataFrame, seconds: int) -> DataFrame:

@@ -110,13 +110,13 @@ def portfolio_total(df: DataFrame) -> DataFrame:
 def bootstrap(trades: DataFrame, sims: int, steps: int, fund: float = 10_000.0, bet: Column | None = None) -> DataFrame:
     """(sim, capital, least): ``sims`` paths of ``steps`` draws with replacement from ``trades(symbol, i, n, profit)``.
 
-    A draw's index is a digest of (sim, step) modulo the trade count, so reruns agree. Draws are dealt by index: a trade
+    A draw's index is a digest of (symbol, sim, step) modulo the trade count, so reruns agree. Draws are dealt by index: a trade
     meets its draws in a hash join, and a path is a product, combined before it is shuffled.
     """
     spark = trades.sparkSession
     draws = spark.range(sims).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     counts = trades.groupBy("symbol").agg(F.max("n").alias("n"))
-    index = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit("draw"), "sim", "step")), 1, 8), 16, 10).cast("long") % F.col("n")
+    index = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit("draw"), "symbol", "sim", "step")), 1, 8), 16, 10).cast("long") % F.col("n")
     drawn = counts.crossJoin(draws).withColumn("i", index)
     found = drawn.join(trades.select("symbol", "i", "profit"), ["symbol", "i"])
     growth = 1 + (F.col("profit") if bet is None else bet * F.col("profit"))
@@ -127,3 +127,18 @@ def bootstrap(trades: DataFrame, sims: int, steps: int, fund: float = 10_000.0,
 def bootstrap_summary(paths: DataFrame, fund: float = 10_000.0) -> DataFrame:
     c = F.col("capital")
     return paths.groupBy("symbol").agg(F.avg(c / fund - 1).alias("mean_return"), F.avg((c > fund).cast("int")).alias("win_rate"), F.avg(c).alias("mean"), F.max(c).alias("best"), F.min(c).alias("worst"))
+
+
+def backtest_summary(df: DataFrame, cash: DataFrame, bet: float, fund: float = 1000.0, by: str = "symbol") -> DataFrame:
+    """A row per series of labelled bars ``df`` and its cash account: gain, trades, win share weighted by the evidence a year,
+    mean cost and gain, worst trade, time-weighted return, yearly growth of a fixed ``bet``."""
+    kept = df.filter(F.col("buy_signal") & F.col("profit").isNotNull())
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    years = (F.max(seconds) - F.min(seconds)) / 86400 / 365.25
+    won = F.avg((F.round("profit", 2) > 0).cast("int"))
+    trades = kept.groupBy(by).agg(
+        F.count("*").alias("trades"), F.sum((F.col("profit") > 0).cast("int")).alias("gains"), (won / (1 + F.exp(-(F.count("*") - years)))).alias("weighted_win"), F.avg("time_cost").alias("mean_cost"), F.min("profit").alias("drawdown"),
+    )
+    out = cash.groupBy(by).agg((F.max_by("fund", "ts") - fund).alias("gain"), F.sum("invested").alias("invested")).join(trades, by, "left").join(time_weighted_return(kept, by), by, "left")
+    grown = annual_return(df.withColumn("bet", F.when(F.col("buy_signal"), bet).otherwise(0.0)), by).select(by, "log_growth")
+    return out.join(grown, by, "left").withColumn("mean_gain", F.col("gain") / F.col("trades"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalars as Fn
 from ..operators import accounts as A
 from ..operators import distributions as D
 from ..operators import indicators as I
@@ -15,8 +16,8 @@ from ..operators import wavelets
 from ..sources import tables as T
 from ..streaming import bars as B
 from .records import NET
-from .registry import BY, CANDLES, LABELS, TURTLE, q, query, r, rounded
-from .windows import ACCELERATION, filtered, labels, turtle
+from .registry import BY, CANDLES, LABELS, TURTLE, q, query, r, roll, rounded
+from .windows import ACCELERATION, FILTERED, RECURSIVE, adjusted_sql, filtered, labels, turtle
 
 KNOWN = f"{LABELS}, known as (select * from labels where profit is not null)"
 
@@ -211,17 +212,37 @@ def a24(spark, sf):
     return df.select("symbol", "k", r("odds", 4).alias("odds"))
 
 
-@query("a25_backtest_summary")
+#: The cash account of signalled trades: pay-outs that are due wait in a list; what is left is paid at the end.
+REPLAY = f"""{LABELS.replace("with ticks", "with recursive ticks", 1)}, sn as (select symbol, ts, profit, matured, row_number() over ({BY}) as rn from labels where buy_signal),
+    cr as (select symbol, 0 as rn, null::timestamp as ts, 0.0::double as income, 0.0::double as invested, 1000.0::double as fund, []::struct(m timestamp, p double)[] as due from (select distinct symbol from sn)
+    union all select symbol, rn, ts, income, stake, cash - stake, case when stake > 0 then list_append(due, struct_pack(m := matured, p := stake * (1 + profit))) else due end
+      from (select *, case when cash >= 10 and matured is not null and profit is not null then least(1000, cash) * {{kelly}}::double else 0 end as stake
+        from (select n.symbol, n.rn, n.ts, n.profit, n.matured, coalesce(list_sum(list_transform(list_filter(e.due, lambda x: x.m <= n.ts), lambda x: x.p)), 0) as income,
+            e.fund + coalesce(list_sum(list_transform(list_filter(e.due, lambda x: x.m <= n.ts), lambda x: x.p)), 0) as cash, list_filter(e.due, lambda x: x.m > n.ts) as due
+          from cr e join sn n on n.symbol = e.symbol and n.rn = e.rn + 1))),
+    fin as (select symbol, list_max(list_transform(due, lambda x: x.m)) as ts, list_sum(list_transform(due, lambda x: x.p)) as income, 0.0::double as invested, fund + list_sum(list_transform(due, lambda x: x.p)) as fund
+      from cr where len(due) > 0 qualify row_number() over (partition by symbol order by rn desc) = 1 and rn = (select max(s.rn) from sn s where s.symbol = cr.symbol)),
+    cash as (select symbol, ts, income, invested, fund from cr where rn > 0 union all select * from fin)"""
+
+
+@query(
+    "a25_backtest_summary",
+    f"""{REPLAY.format(kelly="0.2")}, cs as (select symbol, arg_max(fund, ts) as fund, sum(invested) as invested from cash group by symbol),
+    tr as (select symbol, count(*) as trades, count(*) filter (profit > 0) as gains, avg(case when round(profit, 2) > 0 then 1.0 else 0.0 end) as pw, (epoch(max(ts)) - epoch(min(ts))) / 86400 / 365.25::double as years, avg(time_cost) as cost, min(profit) as worst,
+      sum(case when time_cost > 0 then pow(1 + profit, 1.0 / time_cost) * time_cost end) / sum(case when time_cost > 0 then time_cost end) - 1 as weighted from labels where buy_signal and profit is not null group by symbol),
+    yr as (select symbol, ln(1 + sum(coalesce(case when buy_signal then 0.2::double end * profit, 0))) / ((epoch(max(ts)) - epoch(min(ts))) / 60 / 525600) as grown from labels group by symbol)
+    select c.symbol, {q("fund - 1000", "gain", 4)}, {q("invested", "invested", 4)}, trades, gains, {q("pw / (1 + exp(-(trades - years)))", "weighted_win")}, {q("cost", "mean_cost")}, {q("(fund - 1000) / trades", "mean_gain", 4)}, {q("worst", "drawdown")}, {q("weighted", "weighted_return")}, {q("grown", "log_growth", 4)}
+    from cs c left join tr on tr.symbol = c.symbol left join yr on yr.symbol = c.symbol""",
+)
 def a25(spark, sf):
     """Cash account of each symbol's signalled trades with a fixed bet, summed up in one row."""
-    rows = labels(spark, sf).filter("buy_signal").withColumn("kelly", F.lit(0.2))
-    cash = A.cash_replay(rows).groupBy("symbol").agg(F.max_by("fund", "ts").alias("fund"), F.sum("invested").alias("invested"), F.sum("income").alias("income"))
-    kept = V.performance(rows)
-    return cash.join(kept, "symbol", "left").select("symbol", r("fund", 4).alias("fund"), r("invested", 4).alias("invested"), r("income", 4).alias("income"), "trades", r("mean").alias("mean"), r("worst").alias("worst"))
+    every = labels(spark, sf)
+    out = V.backtest_summary(every, A.cash_replay(every.filter("buy_signal").withColumn("kelly", F.lit(0.2))), 0.2)
+    return out.select("symbol", r("gain", 4).alias("gain"), r("invested", 4).alias("invested"), "trades", "gains", r("weighted_win").alias("weighted_win"), r("mean_cost").alias("mean_cost"), r("mean_gain", 4).alias("mean_gain"), r("drawdown").alias("drawdown"), r("weighted_return").alias("weighted_return"), r("log_growth", 4).alias("log_growth"))
 
 
 TRADES = f"{KNOWN}, tr as (select symbol, profit, row_number() over ({BY}) - 1 as i, count(*) over (partition by symbol) as n from known where buy_signal)"
-BOOT = f"""{TRADES}, dr as (select distinct t.symbol, s.sim, p.step, ('0x' || substr(md5('draw-' || s.sim || '-' || p.step), 1, 8))::bigint % t.n as i from (select distinct symbol, n from tr) t, (select unnest(range(0, 40)) as sim) s, (select unnest(range(0, 12)) as step) p),
+BOOT = f"""{TRADES}, dr as (select distinct t.symbol, s.sim, p.step, ('0x' || substr(md5('draw-' || t.symbol || '-' || s.sim || '-' || p.step), 1, 8))::bigint % t.n as i from (select distinct symbol, n from tr) t, (select unnest(range(0, 40)) as sim) s, (select unnest(range(0, 12)) as step) p),
 pa as (select dr.symbol, dr.sim, sum(case when 1 + 0.5 * profit > 0 then ln(1 + 0.5 * profit) end) as lg, min(1 + 0.5 * profit) as least from dr join tr on dr.symbol = tr.symbol and dr.i = tr.i group by 1, 2), bo as (select symbol, sim, case when least <= 0 then 0.0 else 10000 * exp(lg) end as capital from pa)"""
 
 
@@ -274,12 +295,20 @@ def j9(spark, sf):
     return L.barrier_labels(turtle(spark, sf), 1.5, 0.5, 1.5).select("symbol", "ts", "take_cost")
 
 
-@query("g1_rolling_kalman")
+@query("g1_rolling_kalman", f"{FILTERED} select symbol, ts, {q('kalman', 'kalman')} from filtered")
 def g1(spark, sf):
     return rounded(filtered(spark, sf), "symbol", "ts", kalman="kalman")
 
 
-@query("g2_trend_filter")
+@query(
+    "g2_trend_filter",
+    f"""{RECURSIVE}, {adjusted_sql(f"(select symbol, ts, close, ({' + '.join(f'{10 - i} * lag(close, {i}) over ({BY})' for i in range(10))}) / 55 as wma from candles)", (10,))},
+    tf as (select symbol, ts, rn, (ema10 + wma) / 2 as x0, 0.0::double as x1, 1.0::double as p00, 0.0::double as p01, 0.0::double as p10, 1.0::double as p11 from means where rn = 10
+    union all select symbol, ts, rn, a0 + k0 * (seen - 2 * a0), a1 + k1 * (seen - 2 * a0), (1 - 2 * k0) * c00, (1 - 2 * k0) * c01, c10 - 2 * k1 * c00, c11 - 2 * k1 * c01
+      from (select *, c00 / (2 * c00 + 0.01::double) as k0, c10 / (2 * c00 + 0.01::double) as k1
+        from (select n.symbol, n.ts, n.rn, n.ema10 + n.wma as seen, e.x0 + e.x1 as a0, e.x1 as a1, e.p00 + e.p01 + e.p10 + e.p11 + 0.0001::double as c00, e.p01 + e.p11 as c01, e.p10 + e.p11 as c10, e.p11 + 0.0001::double as c11 from tf e join means n on n.symbol = e.symbol and n.rn = e.rn + 1)))
+    select m.symbol, m.ts, {q("x0", "trend")} from means m left join tf on tf.symbol = m.symbol and tf.rn = m.rn""",
+)
 def g2(spark, sf):
     df = A.ewm_columns(I.weighted_mean(T.candles(spark, sf).select("symbol", "ts", "close")), {"ema": ("close", A.span(10), True)})
     return rounded(A.trend_filter(df), "symbol", "ts", trend="trend")
@@ -294,19 +323,24 @@ def g3(spark, sf):
 @query(
     "g4_win_updates",
     f"""{TRAIL.replace("with ticks", "with recursive ticks", 1)}, nm as (select *, 1 / (1 + exp(-(n - 3))) * (1 - pl) / greatest(pl, 1e-6) as lik, row_number() over (partition by symbol order by today) as rn from lk),
+    mg as (select symbol, today, coalesce(abs(min(case when profit <= 0 then profit end)), 1.0) as loss, coalesce(avg(case when profit > 0 then profit end), 0.0) as gain from tp group by 1, 2),
     up as (select symbol, today, rn, 0.5 / (0.5 + 1e-10) * coalesce(lik, 1) as o from nm where rn = 1
-    union all select n.symbol, n.today, n.rn, (case when u.o / (u.o + 1 + 1e-10) = 1 then 0.999999 else u.o / (u.o + 1 + 1e-10) end) / (1 - (case when u.o / (u.o + 1 + 1e-10) = 1 then 0.999999 else u.o / (u.o + 1 + 1e-10) end) + 1e-10) * coalesce(n.lik, 1) from up u join nm n on n.symbol = u.symbol and n.rn = u.rn + 1)
-    select symbol, today, {q("o / (o + 1 + 1e-10)", "posterior")} from up""",
+    union all select n.symbol, n.today, n.rn, (case when u.o / (u.o + 1 + 1e-10) = 1 then 0.999999 else u.o / (u.o + 1 + 1e-10) end) / (1 - (case when u.o / (u.o + 1 + 1e-10) = 1 then 0.999999 else u.o / (u.o + 1 + 1e-10) end) + 1e-10) * coalesce(n.lik, 1) from up u join nm n on n.symbol = u.symbol and n.rn = u.rn + 1),
+    bt as (select u.symbol, u.today, o / (o + 1 + 1e-10) as p, coalesce(nullif(m.loss, 0), 1e-30) as loss, coalesce(nullif(m.gain, 0), 1e-30) as gain from up u join mg m on m.symbol = u.symbol and m.today = u.today)
+    select symbol, today, {q("p", "posterior")}, {q("case when p / loss > (1 - p) / gain then (p / loss - (1 - p) / gain) / (p / loss) else 0 end", "kelly", 4)}, {q("p * gain - (1 - p) * loss", "expected", 5)} from bt""",
 )
 def g4(spark, sf):
     likes = D.signal_likelihoods(labels(spark, sf), "buy_signal", 40, 21600)
-    return D.win_updates(likes).select("symbol", "today", r("posterior").alias("posterior"))
+    bets = D.with_bets(D.win_updates(likes).join(likes.drop("likelihood"), ["symbol", "today"]))
+    return bets.select("symbol", "today", r("posterior").alias("posterior"), r("kelly", 4).alias("kelly"), r("expected", 5).alias("expected"))
 
 
 @query(
     "g5_multi_signal_updates",
-    f"""{LABELS}, sg as (select *, buy_signal as s1, coalesce(close > turtle_h, false) as s2, coalesce(profit > 0, false) as won, coalesce(profit <= 0, false) as lost from labels),
-    ct as (select *, {", ".join(f"coalesce(sum(case when {c} then 1 else 0 end) over ({BY} rows between 60 preceding and 1 preceding), 0) as {k}" for k, c in (("w", "won"), ("l", "lost"), ("w1", "won and s1"), ("l1", "lost and s1"), ("w2", "won and s2"), ("l2", "lost and s2")))} from sg),
+    f"""{LABELS}, sg as (select *, buy_signal as s1, coalesce(close > turtle_h, false) as s2, row_number() over ({BY}) as rn from labels),
+    vw as (select t.symbol, t.ts, t.s1, t.s2, coalesce(b.matured <= t.ts and b.profit > 0, false) as won, b.rn is not null as seen, b.s1 as b1, b.s2 as b2
+      from sg t left join sg b on b.symbol = t.symbol and b.rn <= t.rn and b.rn > greatest(t.rn - 60, 1) where t.s1 or t.s2),
+    ct as (select symbol, ts, s1, s2, {", ".join(f"count(*) filter (where seen and {c}) as {k}" for k, c in (("w", "won"), ("l", "not won"), ("w1", "won and b1"), ("l1", "not won and b1"), ("w2", "won and b2"), ("l2", "not won and b2")))} from vw group by all),
     pr as (select *, coalesce(w1 / nullif(w, 0), 0) as pw1, coalesce(l1 / nullif(l, 0), 0) as pl1, coalesce(w2 / nullif(w, 0), 0) as pw2, coalesce(l2 / nullif(l, 0), 0) as pl2, (w + l) / 30 as ev from ct),
     ra as (select *, {", ".join(f"case when pw{i} = 0 and pl{i} = 0 then 1.0 when pl{i} = 0 then pw{i} + 0.1 when pw{i} = 0 then 1 / (pl{i} + 0.1) else pw{i} / pl{i} end as r{i}" for i in (1, 2))} from pr),
     sh as (select *, {", ".join(f"case when not s{i} then 1.0 when ev >= 1 then r{i} when r{i} > 1 then (r{i} - 1) * ev + 1 when r{i} < 1 then 1 - (1 - r{i}) * ev else r{i} end as k{i}" for i in (1, 2))} from ra),
@@ -318,9 +352,23 @@ def g5(spark, sf):
     return df.select("symbol", "ts", r("likelihood", 5).alias("likelihood"), r("posterior", 5).alias("posterior"))
 
 
-@query("g6_streak_posterior")
+CHAIN9 = ", ".join(f"({' and '.join(f'coalesce(lead(buy_signal, {j}) over ({BY}), false)' for j in range(1, k + 1))}) and buy_signal as c{k}, lead(ts, {k}) over ({BY}) as t{k}" for k in range(1, 10))
+
+
+@query(
+    "g6_streak_posterior",
+    f"""{TRAIL}, ch as (select symbol, ts, profit, matured, buy_signal, {CHAIN9} from labels),
+    kn as ({" union all ".join(f"select symbol, {k} as k, greatest(t{k}, matured) as at, case when profit > 0 then 1 when profit is not null then 0 end as win from ch where c{k}" for k in range(1, 10))}),
+    il as (select symbol, ts, buy_signal, row_number() over ({BY}) - row_number() over (partition by symbol, buy_signal order by ts) as grp from labels),
+    rw as (select symbol, ts, least(row_number() over (partition by symbol, grp order by ts), 9) as k, row_number() over ({BY}) as nth from il where buy_signal),
+    cn as (select r.symbol, r.ts, r.nth, coalesce(sum(win), 0) as wins, count(win) as seen from rw r left join kn on kn.symbol = r.symbol and kn.k = r.k and kn.at <= r.ts group by 1, 2, 3),
+    po as (select c.symbol, c.ts, case when nth <= 3 or seen = 0 then 1.0 else wins / greatest(seen - wins, 1e-10) end as prior, 1 / (1 + exp(-(n - 3))) * (1 - pl) / greatest(pl, 1e-6) as lik from cn c join lk on lk.symbol = c.symbol and lk.today = c.ts),
+    pp as (select symbol, ts, prior, prior * lik / (prior * lik + 1 + 1e-10) as p from po)
+    select symbol, ts, {q("prior", "prior", 4)}, {q("p", "posterior")}, {q("case when p / (1 - 0.9::double) > (1 - p) / (2 * (1 - 0.9::double)) then (p / (1 - 0.9::double) - (1 - p) / (2 * (1 - 0.9::double))) / (p / (1 - 0.9::double)) else 0 end", "kelly")} from pp""",
+)
 def g6(spark, sf):
-    """Posterior of each signal bar: streak odds known by then times the engine's likelihood of the trailing profits."""
+    """Posterior of each signal bar: streak odds known by then, once there were over three signals, times the engine's
+    likelihood of the trailing profits; the bet for margins of a cutoff of 0.9."""
     df = I.run_lengths(labels(spark, sf), "buy_signal", "streak")
     w = I.series()
     chain, starts = I.yes(F.col("buy_signal")), []
@@ -329,19 +377,21 @@ def g6(spark, sf):
         starts.append(F.struct(F.lit(k).alias("k"), chain.alias("on"), F.greatest(F.lead("ts", k).over(w), F.col("matured")).alias("at")))
     flat = df.withColumn("all_", F.array(*starts)).select("symbol", "profit", F.explode("all_").alias("x")).filter("x.on and x.at is not null")
     known = flat.select("symbol", F.col("x.k").alias("k"), F.col("x.at").alias("ts"), (F.col("profit") > 0).cast("int").alias("win"), F.lit(0).alias("row"))
-    rows = df.filter("buy_signal").select("symbol", F.least(F.col("streak"), F.lit(9)).alias("k"), "ts", F.lit(None).cast("int").alias("win"), F.lit(1).alias("row"))
+    nth = F.row_number().over(w)
+    rows = df.filter("buy_signal").select("symbol", F.least(F.col("streak"), F.lit(9)).alias("k"), "ts", F.lit(None).cast("int").alias("win"), nth.alias("row"))
     sec = F.unix_micros(F.col("ts").cast("timestamp"))
     both = known.unionByName(rows).withColumn("us", sec)
     upto = Window.partitionBy("symbol", "k").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"wins": F.sum("win").over(upto), "seen": F.count("win").over(upto)}).filter("row = 1")
-    odds = F.when(F.col("seen") == 0, 1.0).otherwise(F.col("wins") / F.greatest(F.col("seen") - F.col("wins"), F.lit(1e-10)))
+    both = both.withColumns({"wins": F.sum("win").over(upto), "seen": F.count("win").over(upto)}).filter("row > 0")
+    odds = F.when((F.col("seen") == 0) | (F.col("row") <= 3), 1.0).otherwise(F.col("wins") / F.greatest(F.col("seen") - F.col("wins"), F.lit(1e-10)))
     like = D.signal_likelihoods(labels(spark, sf), "buy_signal", 40, 21600).select("symbol", F.col("today").alias("ts"), "likelihood")
     out = both.select("symbol", "ts", odds.alias("prior")).join(like, ["symbol", "ts"])
     o = F.col("prior") * F.col("likelihood")
-    return out.select("symbol", "ts", r("prior", 4).alias("prior"), r(o / (o + 1 + 1e-10)).alias("posterior"))
+    out = out.withColumn("p", o / (o + 1 + 1e-10))
+    return out.select("symbol", "ts", r("prior", 4).alias("prior"), r("p").alias("posterior"), r(Fn.kelly(F.col("p"), F.lit(1 - 0.9), F.lit(2 * (1 - 0.9)))).alias("kelly"))
 
 
-@query("g7_cash_replay")
+@query("g7_cash_replay", f"{REPLAY.format(kelly='0.25')} select symbol, ts, {q('income', 'income')}, {q('invested', 'invested')}, {q('fund', 'fund')} from cash")
 def g7(spark, sf):
     rows = labels(spark, sf).filter("buy_signal").withColumn("kelly", F.lit(0.25))
     return rounded(A.cash_replay(rows), "symbol", "ts", income="income", invested="invested", fund="fund")
@@ -368,7 +418,21 @@ def _account(spark, sf):
     return A.paper_account(df)
 
 
-@query("g9_paper_account")
+#: The account fold in SQL, a bar a step: what is matched, at what price, then the orders that the bar sets.
+ACCOUNT = f"""{TURTLE.replace("with ticks", "with recursive ticks", 1)}, br as (select *, ({roll("avg", "high", 10)}) + 3 * ({roll("stddev_samp", "high", 10)}) as tp, row_number() over ({BY}) as rn from turtle),
+    ac as (select symbol, 0 as rn, null::timestamp as ts, null::varchar as reason, null::double as price, 1000.0::double as cash, 0.0::double as pos, 0.0::double as avg_cost, 0.0::double as cutoff, 0.0::double as aexit, 0.0::double as leave, 0.0::double as target from (select distinct symbol from br)
+    union all select symbol, rn, ts, reason, price, cash, pos, avg_cost, case when pos > 0 then avg_cost * 0.9::double else cutoff end, coalesce(exit_price, aexit),
+        case when pos > 0 then greatest(coalesce(tp, 0), avg_cost * (1 + (1 - 0.9::double) * 2.0::double)) else leave end, case when buy_signal and pos = 0 then close else 0 end
+      from (select * exclude (cash, pos, avg_cost), case when reason = 'BUY' then cash - least(100, cash) when reason is not null then cash + pos * price else cash end as cash,
+          case when reason = 'BUY' then least(100, cash) / price when reason is not null then 0 else pos end as pos, case when reason = 'BUY' then price else avg_cost end as avg_cost
+        from (select *, case reason when 'CUTOFF' then cutoff when 'ATR_EXIT' then aexit when 'PROFIT_LEAVE' then leave when 'BUY' then target end as price
+          from (select n.symbol, n.rn, n.ts, n.close, n.exit_price, n.tp, n.buy_signal, e.cash, e.pos, e.avg_cost, e.cutoff, e.aexit, e.leave, e.target,
+              case when e.pos > 0 then case when n.low <= e.cutoff then 'CUTOFF' when n.low <= e.aexit then 'ATR_EXIT' when n.high >= e.leave and e.leave > 0 then 'PROFIT_LEAVE' end
+                when e.target > 0 and e.aexit < n.low and n.low <= e.target and least(100, e.cash) >= 10.01 then 'BUY' end as reason
+            from ac e join br n on n.symbol = e.symbol and n.rn = e.rn + 1)))) select symbol, ts, reason, {q("price", "price")}, {q("cash", "cash", 4)}, {q("pos", "position")}, {q("avg_cost", "avg_cost")} from ac where rn > 0"""
+
+
+@query("g9_paper_account", ACCOUNT)
 def g9(spark, sf):
     return _account(spark, sf).select("symbol", "ts", "reason", r("price").alias("price"), r("cash", 4).alias("cash"), r("position").alias("position"), r("avg_cost").alias("avg_cost"))
 
@@ -424,15 +488,20 @@ def t1(spark, sf):
     return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+BAR_COLUMNS = "symbol string, ts timestamp, open double, high double, low double, close double, vol double"
+
+
 def _bar_stream(spark, sf, files: int | None = None):
+    """Bars in files by time, in whatever order they are listed, one a trigger if asked for."""
     path = T.scratch(spark, "bars")
     T.candles(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("symbol", "ts", "open", "high", "low", "close", "vol").repartitionByRange(3, "ts").write.parquet(path)
-    return B.replay(spark, path, "symbol string, ts timestamp, open double, high double, low double, close double, vol double", files)
+    return B.replay(spark, path, BAR_COLUMNS, files)
 
 
 @query("t2_bar_updates", f"{TURTLE} select symbol, ts, turtle_h, turtle_l, {q('exit_price', 'exit_price')}, buy_signal from turtle")
 def t2(spark, sf):
-    df = B.drain(B.bar_updates(_bar_stream(spark, sf)), "bar-updates")
+    """Three triggers; late bars inside the retained tail correct the bars after them, and the latest version counts."""
+    df = B.latest(B.drain(B.bar_updates(_bar_stream(spark, sf, 1)), "bar-updates"))
     clean = lambda c: F.when(~F.isnan(c), F.col(c))
     return df.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), clean("turtle_h").alias("turtle_h"), clean("turtle_l").alias("turtle_l"), r(clean("exit_price")).alias("exit_price"), "buy_signal")
 
@@ -453,13 +522,13 @@ def t4(spark, sf):
     return B.drain(B.tick_exits(_tick_stream(spark, sf), levels), "exits").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("t5_stream_accounts")
+@query("t5_stream_accounts", ACCOUNT)
 def t5(spark, sf):
-    """Order matching and account updates on a stream of bars with their levels; the batch fold of g9 gives the same rows."""
+    """Order matching and account updates on a stream of bars with their levels, in several triggers; the batch fold of g9 gives the same rows."""
     path = T.scratch(spark, "levels")
     df = I.take_profit(turtle(spark, sf), 10, 3).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close", "exit_price", "take_profit", "buy_signal")
-    df.repartition("symbol").write.parquet(path)
-    out = B.drain(B.account_updates(B.replay(spark, path, "symbol string, ts timestamp, high double, low double, close double, exit_price double, take_profit double, buy_signal boolean")), "accounts")
+    B.write_in_order(df, path, "ts", 3)
+    out = B.drain(B.account_updates(B.replay(spark, path, "symbol string, ts timestamp, high double, low double, close double, exit_price double, take_profit double, buy_signal boolean", 1)), "accounts")
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "reason", r(F.when(~F.isnan("price"), F.col("price"))).alias("price"), r("cash", 4).alias("cash"), r("position").alias("position"), r("avg_cost").alias("avg_cost"))
 
 
@@ -467,8 +536,8 @@ def t5(spark, sf):
 def t6(spark, sf):
     path = T.scratch(spark, "order-updates")
     net = A.net_fills(T.fills(spark, sf)).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("seq")))
-    net.select("symbol", "rn", "side", "position", "price").write.parquet(path)
-    out = B.drain(B.ledger_updates(B.replay(spark, path, "symbol long, rn int, side string, position double, price double")), "ledger")
+    B.write_in_order(net.select("symbol", "rn", "side", "position", "price"), path, "rn", 3)
+    out = B.drain(B.ledger_updates(B.replay(spark, path, "symbol long, rn int, side string, position double, price double", 1)), "ledger")
     return out.select("symbol", "rn", "side", r("held", 4).alias("held"), r("avg_cost", 4).alias("avg_cost"), r(F.when(~F.isnan("profit"), F.col("profit")), 4).alias("profit"))
 
 

@@ -50,10 +50,10 @@ def s5(spark, sf):
     return T.finished_bars(T.candles(spark, sf)).select(*BAR)
 
 
-@query("s6_read_fills_csv", f"{FILLS} select order_id * 10 + line as id, cast(symbol as varchar) as symbol, type, state, amount as filled_amount, fees as filled_fees, cash as filled_cash_amount from fills where symbol % 50 = 0")
+@query("s6_read_fills_csv", f"{FILLS} select order_id * 10 + line as id, cast(symbol as varchar) as symbol, type, state, amount as filled_amount, fees as filled_fees, cash as filled_cash_amount from fills")
 def s6(spark, sf):
-    """Fills of every fiftieth symbol through CSV files: the reader takes a glob of per-symbol files."""
-    f = T.fills(spark, sf).filter(F.col("symbol") % 50 == 0)
+    """All fills through CSV files."""
+    f = T.fills(spark, sf)
     cols = [(F.col("order_id") * 10 + F.col("line")).alias("id"), F.col("symbol").cast("string").alias("symbol"), "type", "state", F.col("amount").alias("filled_amount"), F.col("fees").alias("filled_fees"), F.col("cash").alias("filled_cash_amount"), F.lit("api").alias("source"), F.lit("x").alias("client_order_id"), F.unix_millis(F.col("time").cast("timestamp")).alias("finished_timestamp")]
     path = T.scratch(spark, "fills-csv")
     f.select(*cols).write.option("header", True).csv(path)
@@ -214,10 +214,10 @@ def j3(spark, sf):
     return filled.select("symbol", "ts", F.last("close", ignorenulls=True).over(I.series().rowsBetween(Window.unboundedPreceding, 0)).alias("close"))
 
 
-@query("j4_fills_to_bars", f"{CANDLES}, e as (select event_type || '_' || (user_id % 4) as symbol, strftime(ts, '%Y%m%d_%H%M%S') as stamp, event_id, ts from events where user_id % 3 = 0) select e.event_id, e.symbol, c.ts, c.close from e join candles c on c.symbol = e.symbol and c.ts = time_bucket(interval 6 hours, strptime(e.stamp, '%Y%m%d_%H%M%S'))")
+@query("j4_fills_to_bars", f"{CANDLES}, e as (select event_type || '_' || (user_id % 4) as symbol, strftime(ts, '%Y%m%d_%H%M%S') as stamp, event_id, ts from events) select e.event_id, e.symbol, c.ts, c.close from e join candles c on c.symbol = e.symbol and c.ts = time_bucket(interval 6 hours, strptime(e.stamp, '%Y%m%d_%H%M%S'))")
 def j4(spark, sf):
     """The bar of each order: its time is parsed from the order id, and both sides are dealt by (symbol, ts)."""
-    e = T.table(spark, sf, "events").filter("user_id % 3 = 0")
+    e = T.table(spark, sf, "events")
     symbol = F.concat_ws("_", "event_type", (F.col("user_id") % 4).cast("string"))
     e = e.select("event_id", symbol.alias("symbol"), S.order_id(symbol, F.col("ts"), "STRIKE").alias("oid"))
     at = F.expr("timestamp_seconds(floor(unix_seconds(cast(at as timestamp)) / 21600) * 21600)").cast("timestamp_ntz")
@@ -238,6 +238,7 @@ def j6(spark, sf):
     return T.candles(spark, sf).select("symbol").distinct().join(recent, "symbol", "left_semi")
 
 
+#: Action, level in deviations and share of each order of the plan.
 PLAN = [("S", 10, 0.25), ("S", 7, 0.25), ("S", 5, 0.5), ("B", -5, 0.125), ("B", -7, 0.125), ("B", -9, 0.25), ("B", -11, 0.5)]
 
 

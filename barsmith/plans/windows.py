@@ -208,18 +208,46 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.local_slope(df, 20)
 
 
-@query("w16_local_slope")
+#: The rolling filter of G1 in SQL: for every bar at once a recursion over the 20 bars up to it; then the slope.
+FILTERED = f"""{RETURNS.replace("with ticks", "with recursive ticks", 1)},
+    rt as (select *, close * exp(drift) as pred, {roll("avg", "lv", 20, 1)} as glv, {roll("avg", "lvol", 20, 1)} as glvola, coalesce(lvol, 0) as ls, lag(close) over ({BY}) as before, row_number() over ({BY}) as rn from lw),
+    rs as (select *, greatest(high - low, abs(before - high), abs(before - low)) as tr from rt),
+    ra as (select *, {roll("avg", "tr", 10)} as atr from rs),
+    kf as (select symbol, rn, glv, glvola, 20 as j, null::double as x, 1.0::double as p, null::double as b from ra
+      union all
+      select symbol, rn, glv, glvola, j, case when volatility is null then x when x is null then pred else x + gain * (close - x) end, case when volatility is null or x is null then p else (1 - gain) * (p + 0.001::double) end, case when volatility is null then b else close end
+      from (select k.symbol, k.rn, k.glv, k.glvola, k.j - 1 as j, k.x, k.p, k.b, s.close, s.pred, s.volatility,
+          (k.p + 0.001::double) / (k.p + 0.001::double + 0.001::double * least(greatest(exp(-0.6::double * (ln(greatest(s.vol, 1e-6)) - k.glv)), 0.1::double), 2.0::double) * exp(0.2::double * (s.ls - k.glvola)) * exp(-0.2::double * abs(s.close - k.b))) as gain
+        from kf k left join ra s on s.symbol = k.symbol and s.rn = k.rn - (k.j - 1) where k.j > 0)),
+    kal as (select ra.symbol, ra.ts, ra.close, ra.vol, ra.atr, coalesce(kf.x, ra.close) as kalman from ra join kf on kf.symbol = ra.symbol and kf.rn = ra.rn where kf.j = 0),
+    lo as (select *, min(kalman) over ({BY} rows between 41 preceding and 2 preceding) as local_low from kal),
+    filtered as (select *, (kalman - local_low + 1e-8) / 40 as slope from lo)"""
+
+
+@query("w16_local_slope", f"{FILTERED} select symbol, ts, {q('kalman', 'kalman')}, {q('local_low', 'local_low')}, {q('slope', 'slope')} from filtered")
 def w16(spark, sf):
     return rounded(filtered(spark, sf), "symbol", "ts", kalman="kalman", local_low="local_low", slope="slope")
 
 
-@query("w17_regime_features")
+FEATURES = ("kreturn", "kreturn_vol", "rvolume", "slope")
+
+
+@query(
+    "w17_regime_features",
+    f"""{FILTERED}, bs as (select *, {roll("avg", "kalman", 60, 5, lag=True)} as base, {roll("avg", "vol", 60, 5)} as mv from filtered), kr as (select *, ln(kalman / base + 1e-8) as kreturn, ln(vol / mv + 1e-8) as rvolume from bs),
+    kv as (select *, {roll("avg", "kreturn", 60, 5)} as kreturn_vol from kr), bf as (select symbol, ts, {", ".join(f"first_value({c} ignore nulls) over ({BY} rows between current row and unbounded following) as {c}" for c in FEATURES)} from kv)
+    select symbol, ts, {", ".join(q(f"({c} - avg({c}) over (partition by symbol)) / nullif(stddev_pop({c}) over (partition by symbol), 0)", f"{c}_z") for c in FEATURES)} from bf""",
+)
 def w17(spark, sf):
     df = I.regime_features(filtered(spark, sf))
-    return rounded(df, "symbol", "ts", **{f"{c}_z": f"{c}_z" for c in ("kreturn", "kreturn_vol", "rvolume", "slope")})
+    return rounded(df, "symbol", "ts", **{f"{c}_z": f"{c}_z" for c in FEATURES})
 
 
-@query("w18_dynamic_stop")
+@query(
+    "w18_dynamic_stop",
+    f"""{FILTERED}, qd as (select *, quantile_cont(slope, 0.05) over ({BY} rows between 59 preceding and current row) as q1, quantile_cont(slope, 0.5) over ({BY} rows between 59 preceding and current row) as q2 from filtered),
+    mg as (select *, 0.1::double + coalesce((least(greatest(slope, q1), q2) - q1) / nullif(q2 - q1, 0), 0) * 1.9::double as margin from qd) select symbol, ts, {q("margin", "margin")}, {q(f"lag(kalman) over ({BY}) - lag(atr) over ({BY}) * margin", "exit_price")} from mg""",
+)
 def w18(spark, sf):
     return rounded(I.dynamic_stop(filtered(spark, sf), 60), "symbol", "ts", margin="margin", exit_price="exit_price")
 
@@ -253,11 +281,12 @@ def w21(spark, sf):
     f"""{CANDLES}, g as (select *, close - ({roll("avg", "close", 5)}) as gap from candles), s as (select *, stddev_pop(gap) over (partition by symbol) as d from g),
     e as (select *, case when gap < -2 * d then 1 when gap > d then 0 end as ev from s), h as (select *, coalesce(last_value(ev ignore nulls) over ({BY} rows unbounded preceding), 0) as holding from e),
     p as (select *, coalesce(lag(holding) over ({BY}), 0) as was from h)
-    select symbol, ts, holding, was = 0 and holding = 1 as entered, was = 1 and holding = 0 as "left", {q(f"case when was = 1 and holding = 0 then close - lag(close, 4) over ({BY}) end", "gain")} from p""",
+    select symbol, ts, holding, was = 0 and holding = 1 as entered, was = 1 and holding = 0 as "left", {q("gain", "gain")}, {q(f"1000 * coalesce(product(1 + gain / entry) over ({BY} rows unbounded preceding), 1)", "capital", 4)}
+    from (select *, case when was = 1 and holding = 0 then close - lag(close, 4) over ({BY}) end as gain, last_value(case when was = 0 and holding = 1 then close end ignore nulls) over ({BY} rows unbounded preceding) as entry from p)""",
 )
 def w22(spark, sf):
     df = I.hysteresis(candles(spark, sf))
-    return df.select("symbol", "ts", "holding", "entered", "left", r("gain").alias("gain"))
+    return df.select("symbol", "ts", "holding", "entered", "left", r("gain").alias("gain"), r("capital", 4).alias("capital"))
 
 
 @query("w23_weighted_mean", f"{CANDLES} select symbol, ts, {q('(' + ' + '.join(f'{10 - i} * lag(close, {i}) over ({BY})' for i in range(10)) + ') / 55', 'wma')} from candles")
@@ -283,27 +312,32 @@ def w24(spark, sf):
     return rounded(df, "symbol", "ts", ema5="ema5", ema60="ema60")
 
 
-@query("w25_cross_signal")
+@query(
+    "w25_cross_signal",
+    f"""{FILTERED}, {ewm_sql("(select symbol, ts, close, kalman from filtered)", {"ema5": ("close", 2 / 6), "ema60": ("close", 2 / 61)})}
+    select e.symbol, e.ts, coalesce(ema5 > ema60 and kalman > ema5, false) as "cross" from ewm e join filtered f on e.symbol = f.symbol and e.ts = f.ts""",
+)
 def w25(spark, sf):
     df = A.ewm_columns(filtered(spark, sf).select("symbol", "ts", "close", "kalman"), {"ema5": ("close", A.span(5), False), "ema60": ("close", A.span(60), False)})
     return df.select("symbol", "ts", I.yes((F.col("ema5") > F.col("ema60")) & (F.col("kalman") > F.col("ema5"))).alias("cross"))
 
 
-DIRECTION = TURTLE.replace("with ticks", "with recursive ticks", 1)
+DIRECTION = f"""{TURTLE.replace("with ticks", "with recursive ticks", 1)}, mv as (select *, high - lag(high) over ({BY}) as up, lag(low) over ({BY}) - low as dn from turtle),
+    dm as (select *, coalesce(case when up > dn then greatest(up, 0) end, 0) as updm, coalesce(case when dn > up then greatest(dn, 0) end, 0) as dndm from mv),
+    {ewm_sql("dm", {"pdm": ("updm", 0.1), "mdm": ("dndm", 0.1)})},
+    di as (select e.symbol, e.ts, coalesce(pdm / nullif(atr, 0), 0) as pdi, coalesce(mdm / nullif(atr, 0), 0) as mdi from ewm e join turtle t on e.symbol = t.symbol and e.ts = t.ts)"""
 
 
-@query(
-    "w26_directional_index",
-    f"""{DIRECTION}, mv as (select *, high - lag(high) over ({BY}) as up, lag(low) over ({BY}) - low as dn from turtle),
-    dm as (select *, coalesce(case when up > dn then greatest(up, 0) end, 0) as updm, coalesce(case when dn > up then greatest(dn, 0) end, 0) as dndm from mv),
-    {ewm_sql("dm", {"pdm": ("updm", 0.1), "mdm": ("dndm", 0.1)})}
-    select e.symbol, e.ts, {q("coalesce(pdm / nullif(atr, 0), 0)", "plus_di")}, {q("coalesce(mdm / nullif(atr, 0), 0)", "minus_di")} from ewm e join turtle t on e.symbol = t.symbol and e.ts = t.ts""",
-)
+@query("w26_directional_index", f"{DIRECTION} select symbol, ts, {q('pdi', 'plus_di')}, {q('mdi', 'minus_di')} from di")
 def w26(spark, sf):
     return rounded(A.directional_index(turtle(spark, sf), 10), "symbol", "ts", plus_di="plus_di", minus_di="minus_di")
 
 
-@query("w26_signed_index")
+@query(
+    "w26_signed_index",
+    f"""{DIRECTION}, dxs as (select *, abs(pdi - mdi) / nullif(pdi + mdi, 0) as dx from di), {ewm_sql("dxs", {"adx": ("dx", 0.1)}).replace("numbered", "numbered_dx").replace("ewm", "ewm_dx")}
+    select d.symbol, d.ts, {q("dx", "dx")}, {q("adx", "adx")}, {q("adx * sign(pdi - mdi)", "adx_signed")} from dxs d join ewm_dx e on e.symbol = d.symbol and e.ts = d.ts""",
+)
 def w26_signed(spark, sf):
     return rounded(A.directional_index(turtle(spark, sf), 10), "symbol", "ts", dx="dx", adx="adx", adx_signed="adx_signed")
 
@@ -311,7 +345,21 @@ def w26_signed(spark, sf):
 SPANS = (12, 144, 169, 576, 676)
 
 
-@query("w27_tunnel")
+def adjusted_sql(source: str, spans: tuple) -> str:
+    """Recursive exponential means of the closes in ``source`` with adjustment: weighted sum over sum of weights."""
+    first = ", ".join(f"close as n{n}, 1.0::double as d{n}" for n in spans)
+    step = ", ".join(f"n.close + e.n{n} * (1 - {2 / (n + 1)}::double), 1 + e.d{n} * (1 - {2 / (n + 1)}::double)" for n in spans)
+    return f"""counted as (select *, row_number() over ({BY}) as rn from {source}),
+    sums as (select symbol, ts, rn, {first} from counted where rn = 1 union all select n.symbol, n.ts, n.rn, {step} from sums e join counted n on n.symbol = e.symbol and n.rn = e.rn + 1),
+    means as (select c.*, {", ".join(f"n{n} / d{n} as ema{n}" for n in spans)} from sums s join counted c on c.symbol = s.symbol and c.rn = s.rn)"""
+
+
+@query(
+    "w27_tunnel",
+    f"""{RECURSIVE}, {adjusted_sql("candles", SPANS)}, tn as (select *, greatest(ema144, ema169) as top, least(ema144, ema169) as low_ from means), tt as (select *, close <= top and close >= low_ as inside from tn),
+    br as (select *, coalesce(lag(inside) over ({BY}), false) and not inside as breakout from tt)
+    select symbol, ts, {q("top", "top")}, {q("low_", "low")}, {q("top + (top - low_) * 1.618::double", "fib1_618")}, inside as in_tunnel, breakout, breakout and ema12 > top and ema576 > ema676 as "long", breakout and ema12 < low_ and ema576 < ema676 as "short" from br""",
+)
 def w27(spark, sf):
     """Tunnel of two slow means, its fibonacci levels, and the flags of a break out of it."""
     df = A.ewm_columns(candles(spark, sf).select("symbol", "ts", "close"), {f"ema{n}": ("close", A.span(n), True) for n in SPANS})
@@ -328,10 +376,10 @@ GATE = f"""{CANDLES}, g as (select *, {roll("avg", "close", 10)} as mean, {roll(
     gm as (select *, quantile_cont(std, 0.5) over ({BY} rows between 9 preceding and current row) as median from g)"""
 
 
-@query("w28_volatility_gate", f"{GATE} select symbol, ts, {q('mean', 'mean')}, {q('std', 'std')}, coalesce(std >= median, false) as open_gate from gm")
+@query("w28_volatility_gate", f"{GATE} select symbol, ts, {q('mean', 'mean')}, {q('std', 'std')}, coalesce(std >= median, false) as open_gate, {q('case when std >= median then mean - 5 * std end', 'buy_level')}, {q('case when std >= median then mean + 5 * std end', 'sell_level')} from gm")
 def w28(spark, sf):
     df = I.volatility_gate(candles(spark, sf), 10)
-    return df.select("symbol", "ts", r("mean").alias("mean"), r("std").alias("std"), "open_gate")
+    return df.select("symbol", "ts", r("mean").alias("mean"), r("std").alias("std"), "open_gate", r("buy_level").alias("buy_level"), r("sell_level").alias("sell_level"))
 
 
 @query(

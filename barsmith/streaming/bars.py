@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from io import StringIO
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,32 +44,68 @@ def day_volume(ticks: DataFrame, slide: str = "6 hours", delay: str = "5 seconds
     return ticks.withWatermark("ts", delay).groupBy(F.window("ts", "24 hours", slide), "symbol").agg(F.sum("qty").cast("double").alias("day_vol")).select("symbol", F.col("window.end").alias("ts"), "day_vol")
 
 
-def _bar_update(n: int, margin: float):
-    """State: a symbol's last 2n bars. Each new bar gets its channel, range and stop from the retained tail only."""
+def _bar_update(n: int, margin: float, keep: int):
+    """State: a symbol's last ``keep`` bars, the version of its last output, and how many bars came too late for it.
+
+    Bars that come again replace what was held, late ones go to their place, and the output starts at the oldest bar
+    touched, so that every bar that depends on it is given again under a newer version.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail = pd.read_json(StringIO(state.get[0]), orient="records", convert_dates=["ts"]) if state.exists else pd.DataFrame()
-        new = pd.concat(list(batches)).drop_duplicates("ts", keep="last").sort_values("ts")
-        if len(tail):
-            new = new[new["ts"] > tail["ts"].max()]
-        bars = pd.concat([tail, new], ignore_index=True) if len(tail) else new.reset_index(drop=True)
+        held, version, late = json.loads(state.get[0]) if state.exists else ([], 0, 0)
+        names = ["ts", "high", "low", "close"]
+        tail = pd.DataFrame(held, columns=names)
+        tail["ts"] = pd.to_datetime(tail["ts"], unit="us")
+        new = pd.concat(list(batches))[names].drop_duplicates("ts", keep="last")
+        if len(tail) >= keep:
+            fits = new["ts"] >= tail["ts"].min()
+            late, new = late + int((~fits).sum()), new[fits]
+        if not len(new):
+            state.update((json.dumps((held, version, late)),))
+            return
+        bars = pd.concat([tail, new]).drop_duplicates("ts", keep="last").sort_values("ts", ignore_index=True)
         before = bars["close"].shift(1)
         tr = pd.concat([bars["high"] - bars["low"], (before - bars["high"]).abs(), (before - bars["low"]).abs()], axis=1).max(axis=1)
         atr = tr.rolling(n).mean()
         out = bars.assign(turtle_h=bars["high"].shift(1).rolling(n).max(), turtle_l=bars["low"].shift(1).rolling(n).min(), exit_price=before - atr.shift(1) * margin)
         out["buy_signal"] = (out["high"] > out["turtle_h"]).fillna(False)
-        state.update((bars.tail(2 * n + 1)[["ts", "high", "low", "close"]].to_json(orient="records", date_format="iso", double_precision=15),))
-        fresh = out[out["ts"].isin(new["ts"])] if len(new) else out.iloc[:0]
-        fresh = fresh.assign(symbol=key[0])[["symbol", "ts", "high", "low", "close", "turtle_h", "turtle_l", "exit_price", "buy_signal"]]
-        yield fresh
+        kept = bars.tail(keep)
+        rows = list(zip(kept["ts"].astype("datetime64[us]").astype("int64").tolist(), *(kept[c].tolist() for c in names[1:]), strict=True))
+        state.update((json.dumps((rows, version + 1, late)),))
+        fresh = out[out["ts"] >= new["ts"].min()].assign(symbol=key[0], version=version + 1, late=late)
+        yield fresh[["symbol", "ts", "high", "low", "close", "turtle_h", "turtle_l", "exit_price", "buy_signal", "version", "late"]]
 
     return step
 
 
-def bar_updates(bars: DataFrame, n: int = 10, margin: float = 1.5) -> DataFrame:
-    """New bars with their indicators: state per symbol is a bounded tail, so history is never read again."""
-    out = "symbol string, ts timestamp, high double, low double, close double, turtle_h double, turtle_l double, exit_price double, buy_signal boolean"
-    return bars.groupBy("symbol").applyInPandasWithState(_bar_update(n, margin), out, "tail string", "append", GroupStateTimeout.NoTimeout)
+def bar_updates(bars: DataFrame, n: int = 10, margin: float = 1.5, keep: int = 2000) -> DataFrame:
+    """Bars with their indicators as they come: state per symbol is its last ``keep`` bars, so history is never read again.
+
+    A bar is given again under a higher ``version`` when it or one before it came anew (see ``latest``). Bars older than
+    all ``keep`` retained ones change nothing; ``late`` counts them.
+    """
+    out = "symbol string, ts timestamp, high double, low double, close double, turtle_h double, turtle_l double, exit_price double, buy_signal boolean, version long, late long"
+    return bars.groupBy("symbol").applyInPandasWithState(_bar_update(n, margin, keep), out, "tail string", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest(updates: DataFrame) -> DataFrame:
+    """The last version of each bar."""
+    kept = updates.groupBy("symbol", "ts").agg(F.max_by(F.struct(*updates.columns), "version").alias("row"))
+    return kept.select("row.*")
+
+
+def write_in_order(df: DataFrame, path: str, order: str, parts: int) -> None:
+    """Write a table as a stream's files in ``parts`` consecutive ranges of ``order``, a symbol's rows of a range in one file.
+
+    A range is written when the one before it is there, and the file source takes older files first, so a symbol's rows
+    arrive in order however few files a trigger takes.
+    """
+    value = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order).cast("long")
+    cuts = df.select(value.alias("v")).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 1000).alias("c")).first()["c"] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        inside = (value > low if low is not None else F.lit(True)) & (value <= high if high is not None else F.lit(True))
+        df.filter(inside).repartition("symbol").write.mode("append").parquet(path)
 
 
 def _account(cap: float, hard_cutoff: float, ratio: float):
