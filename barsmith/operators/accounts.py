@@ -255,14 +255,27 @@ def fill_ledger(fills: DataFrame, keys: tuple = ("symbol",), order: str = "seq")
     return dealt.select(cols).mapInArrow(run, schema)
 
 
+#: A buy is refused where its price is not this many times the price at which it would leave.
+ROOM = 1.002
+
 STATE = {"cash": 1000.0, "position": 0.0, "avg_cost": 0.0, "cutoff": 0.0, "atr_exit": 0.0, "leave": 0.0, "target": 0.0}
 
 
-def account_step(state: dict, bar: dict, cap: float, hard_cutoff: float, ratio: float) -> tuple[dict, str | None, float | None]:
+def opens(state: dict, bar: dict, hard_cutoff: float) -> bool:
+    """Whether a bar may set a buy: a signal, no position, no hold, cash for the least stake, and room above where it would leave."""
+    leave, cutoff = bar["exit_price"], state["avg_cost"] * hard_cutoff
+    if not bar["buy_signal"] or bar["hold"] or state["position"] > 0 or state["cash"] <= MIN_STAKE or leave is None or leave != leave:
+        return False
+    leave = min(leave, cutoff) or leave
+    return leave != 0 and bar["close"] / leave >= ROOM
+
+
+def account_step(state: dict, bar: dict, cap: float, hard_cutoff: float, ratio: float, bet: float = 1.0) -> tuple[dict, str | None, float | None]:
     """One bar of a paper account: match the sell, then the buy, that earlier bars set; then set orders from this bar.
 
-    A sell leaves at the cutoff, then the range exit, then the profit price. Returns the new state, and the order that
-    was filled with its price. The batch job and the stream share this function.
+    A sell leaves at the cutoff, then the range exit, then the profit price. A buy stakes ``bet`` of the lesser of cap and
+    cash, the least stake at least. A null ``hold`` holds nothing. Returns the new state, and the order that was filled
+    with its price. The batch job and the stream share this function.
     """
     s, done, price = dict(state), None, None
     if s["position"] > 0:
@@ -278,7 +291,7 @@ def account_step(state: dict, bar: dict, cap: float, hard_cutoff: float, ratio:
     elif s["target"] > 0 and s["atr_exit"] < bar["low"] <= s["target"]:
         stake = min(cap, s["cash"])
         if stake >= MIN_STAKE:
-            done, price = "BUY", s["target"]
+            done, price, stake = "BUY", s["target"], max(stake * bet, MIN_STAKE)
             s["position"], s["avg_cost"], s["cash"] = stake / price, price, s["cash"] - stake
     exit_price = bar["exit_price"]
     if exit_price is not None and exit_price == exit_price:
@@ -286,21 +299,21 @@ def account_step(state: dict, bar: dict, cap: float, hard_cutoff: float, ratio:
     if s["position"] > 0:
         s["cutoff"] = s["avg_cost"] * hard_cutoff
         s["leave"] = max(bar["take_profit"] if bar["take_profit"] is not None and bar["take_profit"] == bar["take_profit"] else 0.0, s["avg_cost"] * (1 + (1 - hard_cutoff) * ratio))
-    s["target"] = bar["close"] if bar["buy_signal"] and s["position"] == 0 else 0.0
+    s["target"] = bar["close"] if opens(s, bar, hard_cutoff) else 0.0
     return s, done, price
 
 
-def paper_account(df: DataFrame, cap: float = 100.0, hard_cutoff: float = 0.9, ratio: float = 2.0) -> DataFrame:
+def paper_account(df: DataFrame, cap: float = 100.0, hard_cutoff: float = 0.9, ratio: float = 2.0, bet: float = 1.0) -> DataFrame:
     """(symbol, ts, reason, price, cash, position, avg_cost) after each bar, one account per symbol."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state, rows = dict(STATE), []
         for bar in pdf.sort_values("ts").to_dict("records"):
-            state, done, price = account_step(state, bar, cap, hard_cutoff, ratio)
+            state, done, price = account_step(state, bar, cap, hard_cutoff, ratio, bet)
             rows.append((bar["symbol"], bar["ts"], done, price, state["cash"], state["position"], state["avg_cost"]))
         return pd.DataFrame(rows, columns=["symbol", "ts", "reason", "price", "cash", "position", "avg_cost"]).astype({"price": float})
 
-    cols = ["symbol", "ts", "high", "low", "close", "exit_price", "take_profit", "buy_signal"]
+    cols = ["symbol", "ts", "high", "low", "close", "exit_price", "take_profit", "buy_signal", "hold"]
     out = df.select(cols).groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp_ntz, reason string, price double, cash double, position double, avg_cost double")
     return out.withColumn("price", F.when(~F.isnan("price"), F.col("price")))
 

@@ -270,3 +270,10 @@ def missing_bars(df: DataFrame, seconds: int) -> DataFrame:
     """Bars that come more than one interval after the one before, and how many are missing."""
     gap = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(prior("ts").cast("timestamp"))
     return df.withColumn("gap", gap).filter(F.col("gap") > seconds).withColumn("missing", (F.col("gap") / seconds).cast("long") - 1)
+
+
+def volume_hold(df: DataFrame, hours: int = 18, least: float = 0.6) -> DataFrame:
+    """``day_vol``, the volume of the last hours, and ``hold``, true where it is under ``least`` of the symbol's mean of it."""
+    last = Window.partitionBy("symbol").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-hours * 3600, 0)
+    df = df.withColumn("day_vol", F.sum("vol").over(last))
+    return df.withColumn("hold", F.col("day_vol") / F.avg("day_vol").over(Window.partitionBy("symbol")) < least)

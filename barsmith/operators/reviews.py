@@ -59,6 +59,13 @@ def mission_review(df: DataFrame, by: str = "symbol") -> DataFrame:
     )
 
 
+def final_account(account: DataFrame, bars: DataFrame, funds: float = 1000.0, by: str = "symbol") -> DataFrame:
+    """Each account after its last bar, and what it gained on its first funds with its position at the last close."""
+    last = account.groupBy(by).agg(*[F.max_by(c, "ts").alias(c) for c in ("cash", "position", "avg_cost")])
+    close = bars.groupBy(by).agg(F.max_by("close", "ts").alias("last_close"))
+    return last.join(close, by).withColumn("profit", F.col("cash") + F.col("position") * F.col("last_close") - funds)
+
+
 def exit_reasons(df: DataFrame, reasons: tuple, by: str = "symbol") -> DataFrame:
     """Share of each exit reason, zero where it is missing."""
     counted = df.filter("reason is not null").groupBy(by).pivot("reason", list(reasons)).count().fillna(0)

@@ -413,30 +413,41 @@ def g8(spark, sf):
     return ledger(spark, sf).select("symbol", "rn", "side", r("held", 4).alias("held"), r("avg_cost", 4).alias("avg_cost"), r("profit", 4).alias("profit"), r(F.col("cash") / 997, 6).alias("cash_share"))
 
 
+def _levels(spark, sf):
+    return I.volume_hold(I.take_profit(turtle(spark, sf), 10, 3))
+
+
 def _account(spark, sf):
-    df = I.take_profit(turtle(spark, sf), 10, 3)
-    return A.paper_account(df)
+    return A.paper_account(_levels(spark, sf))
 
 
 #: The account fold in SQL, a bar a step: what is matched, at what price, then the orders that the bar sets.
-ACCOUNT = f"""{TURTLE.replace("with ticks", "with recursive ticks", 1)}, br as (select *, ({roll("avg", "high", 10)}) + 3 * ({roll("stddev_samp", "high", 10)}) as tp, row_number() over ({BY}) as rn from turtle),
+ACCOUNT = f"""{TURTLE.replace("with ticks", "with recursive ticks", 1)}, br as (select *, ({roll("avg", "high", 10)}) + 3 * ({roll("stddev_samp", "high", 10)}) as tp, sum(vol) over ({BY} range between interval 18 hours preceding and current row) as day_vol, row_number() over ({BY}) as rn from turtle), bh as (select *, coalesce(day_vol / avg(day_vol) over (partition by symbol) < 0.6, false) as hold from br),
     ac as (select symbol, 0 as rn, null::timestamp as ts, null::varchar as reason, null::double as price, 1000.0::double as cash, 0.0::double as pos, 0.0::double as avg_cost, 0.0::double as cutoff, 0.0::double as aexit, 0.0::double as leave, 0.0::double as target from (select distinct symbol from br)
     union all select symbol, rn, ts, reason, price, cash, pos, avg_cost, case when pos > 0 then avg_cost * 0.9::double else cutoff end, coalesce(exit_price, aexit),
-        case when pos > 0 then greatest(coalesce(tp, 0), avg_cost * (1 + (1 - 0.9::double) * 2.0::double)) else leave end, case when buy_signal and pos = 0 then close else 0 end
+        case when pos > 0 then greatest(coalesce(tp, 0), avg_cost * (1 + (1 - 0.9::double) * 2.0::double)) else leave end, case when buy_signal and not hold and pos = 0 and cash > 10.01 and coalesce(close / nullif(case when avg_cost > 0 then least(exit_price, avg_cost * 0.9::double) else exit_price end, 0) >= 1.002::double, false) and exit_price is not null then close else 0 end
       from (select * exclude (cash, pos, avg_cost), case when reason = 'BUY' then cash - least(100, cash) when reason is not null then cash + pos * price else cash end as cash,
           case when reason = 'BUY' then least(100, cash) / price when reason is not null then 0 else pos end as pos, case when reason = 'BUY' then price else avg_cost end as avg_cost
         from (select *, case reason when 'CUTOFF' then cutoff when 'ATR_EXIT' then aexit when 'PROFIT_LEAVE' then leave when 'BUY' then target end as price
-          from (select n.symbol, n.rn, n.ts, n.close, n.exit_price, n.tp, n.buy_signal, e.cash, e.pos, e.avg_cost, e.cutoff, e.aexit, e.leave, e.target,
+          from (select n.symbol, n.rn, n.ts, n.close, n.exit_price, n.tp, n.buy_signal, n.hold, e.cash, e.pos, e.avg_cost, e.cutoff, e.aexit, e.leave, e.target,
               case when e.pos > 0 then case when n.low <= e.cutoff then 'CUTOFF' when n.low <= e.aexit then 'ATR_EXIT' when n.high >= e.leave and e.leave > 0 then 'PROFIT_LEAVE' end
                 when e.target > 0 and e.aexit < n.low and n.low <= e.target and least(100, e.cash) >= 10.01 then 'BUY' end as reason
-            from ac e join br n on n.symbol = e.symbol and n.rn = e.rn + 1)))) select symbol, ts, reason, {q("price", "price")}, {q("cash", "cash", 4)}, {q("pos", "position")}, {q("avg_cost", "avg_cost")} from ac where rn > 0"""
+            from ac e join bh n on n.symbol = e.symbol and n.rn = e.rn + 1))))"""
+BAR_ACCOUNTS = f"""{ACCOUNT} select symbol, ts, reason, {q("price", "price")}, {q("cash", "cash", 4)}, {q("pos", "position")}, {q("avg_cost", "avg_cost")} from ac where rn > 0"""
 
 
-@query("g9_paper_account", ACCOUNT)
+@query("g9_paper_account", BAR_ACCOUNTS)
 def g9(spark, sf):
     return _account(spark, sf).select("symbol", "ts", "reason", r("price").alias("price"), r("cash", 4).alias("cash"), r("position").alias("position"), r("avg_cost").alias("avg_cost"))
 
 
+@query("a6_final_account", f"""{ACCOUNT}, fin as (select symbol, arg_max(cash, rn) as cash, arg_max(pos, rn) as pos, arg_max(avg_cost, rn) as avg_cost from ac where rn > 0 group by symbol), lc as (select symbol, arg_max(close, ts) as last_close from candles group by symbol)
+    select symbol, {q("cash", "cash", 4)}, {q("pos", "position")}, {q("avg_cost", "avg_cost")}, {q("cash + pos * last_close - 1000", "profit", 4)} from fin join lc using (symbol)""")
+def a6_final(spark, sf):
+    out = V.final_account(_account(spark, sf), T.candles(spark, sf))
+    return out.select("symbol", r("cash", 4).alias("cash"), r("position").alias("position"), r("avg_cost").alias("avg_cost"), r("profit", 4).alias("profit"))
+
+
 LAST = f"{LEDGER}, la as (select symbol, arg_max(held, rn) as held, arg_max(avg_cost, rn) as avg_cost, arg_max(cash, rn) as cash, arg_max(price, rn) as last_price from led group by symbol)"
 
 
@@ -522,13 +533,13 @@ def t4(spark, sf):
     return B.drain(B.tick_exits(_tick_stream(spark, sf), levels), "exits").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("t5_stream_accounts", ACCOUNT)
+@query("t5_stream_accounts", BAR_ACCOUNTS)
 def t5(spark, sf):
     """Order matching and account updates on a stream of bars with their levels, in several triggers; the batch fold of g9 gives the same rows."""
     path = T.scratch(spark, "levels")
-    df = I.take_profit(turtle(spark, sf), 10, 3).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close", "exit_price", "take_profit", "buy_signal")
+    df = _levels(spark, sf).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close", "exit_price", "take_profit", "buy_signal", "hold")
     B.write_in_order(df, path, "ts", 3)
-    out = B.drain(B.account_updates(B.replay(spark, path, "symbol string, ts timestamp, high double, low double, close double, exit_price double, take_profit double, buy_signal boolean", 1)), "accounts")
+    out = B.drain(B.account_updates(B.replay(spark, path, "symbol string, ts timestamp, high double, low double, close double, exit_price double, take_profit double, buy_signal boolean, hold boolean", 1)), "accounts")
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "reason", r(F.when(~F.isnan("price"), F.col("price"))).alias("price"), r("cash", 4).alias("cash"), r("position").alias("position"), r("avg_cost").alias("avg_cost"))
 
 

@@ -183,10 +183,7 @@ def p11(spark, sf):
 
 @query("p12_volume_hold", f"{CANDLES}, v as (select *, sum(vol) over (partition by symbol order by ts range between interval 18 hours preceding and current row) as day_vol from candles), b as (select *, avg(day_vol) over (partition by symbol) as base from v) select symbol, ts, day_vol, day_vol / base < 0.6 as hold from b")
 def p12(spark, sf):
-    sec = F.unix_seconds(F.col("ts").cast("timestamp"))
-    day = Window.partitionBy("symbol").orderBy("sec").rangeBetween(-18 * 3600, 0)
-    df = T.candles(spark, sf).withColumn("sec", sec).withColumn("day_vol", F.sum("vol").over(day))
-    return df.select("symbol", "ts", "day_vol", (F.col("day_vol") / F.avg("day_vol").over(Window.partitionBy("symbol")) < 0.6).alias("hold"))
+    return I.volume_hold(T.candles(spark, sf)).select("symbol", "ts", "day_vol", "hold")
 
 
 @query("j1_outer_join", f"{LABELS}, k as (select symbol, ts, profit from labels where profit > 0), c as (select symbol, ts, close from candles where day(ts) % 2 = 0) select coalesce(k.symbol, c.symbol) as symbol, coalesce(k.ts, c.ts) as ts, {q('profit', 'profit')}, close from k full join c on k.symbol = c.symbol and k.ts = c.ts")

@@ -108,11 +108,11 @@ def write_in_order(df: DataFrame, path: str, order: str, parts: int) -> None:
         df.filter(inside).repartition("symbol").write.mode("append").parquet(path)
 
 
-def _account(cap: float, hard_cutoff: float, ratio: float):
+def _account(cap: float, hard_cutoff: float, ratio: float, bet: float):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         account, rows = json.loads(state.get[0]) if state.exists else dict(STATE), []
         for bar in pd.concat(list(batches)).sort_values("ts").to_dict("records"):
-            account, done, price = account_step(account, bar, cap, hard_cutoff, ratio)
+            account, done, price = account_step(account, bar, cap, hard_cutoff, ratio, bet)
             rows.append((key[0], bar["ts"], done, float("nan") if price is None else price, account["cash"], account["position"], account["avg_cost"]))
         state.update((json.dumps(account),))
         yield pd.DataFrame(rows, columns=["symbol", "ts", "reason", "price", "cash", "position", "avg_cost"])
@@ -120,10 +120,10 @@ def _account(cap: float, hard_cutoff: float, ratio: float):
     return step
 
 
-def account_updates(bars: DataFrame, cap: float = 100.0, hard_cutoff: float = 0.9, ratio: float = 2.0) -> DataFrame:
+def account_updates(bars: DataFrame, cap: float = 100.0, hard_cutoff: float = 0.9, ratio: float = 2.0, bet: float = 1.0) -> DataFrame:
     """The paper account of each symbol, one row per bar: the fold of the batch job with its state kept between batches."""
     out = "symbol string, ts timestamp, reason string, price double, cash double, position double, avg_cost double"
-    return bars.groupBy("symbol").applyInPandasWithState(_account(cap, hard_cutoff, ratio), out, "account string", "append", GroupStateTimeout.NoTimeout)
+    return bars.groupBy("symbol").applyInPandasWithState(_account(cap, hard_cutoff, ratio, bet), out, "account string", "append", GroupStateTimeout.NoTimeout)
 
 
 def _order_update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

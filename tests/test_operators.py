@@ -140,6 +140,19 @@ def test_stream_accounts_equal_batch(spark, sf):
     assert batch == stream
 
 
+def test_account_gate_and_stake():
+    bar = {"high": 11.0, "low": 9.0, "close": 10.0, "exit_price": 8.0, "take_profit": None, "buy_signal": True, "hold": None}
+    target = lambda state=A.STATE, **change: A.account_step(state, {**bar, **change}, 100.0, 0.9, 2.0)[0]["target"]
+    assert target() == 10.0
+    assert [target(buy_signal=False), target(hold=True), target(exit_price=None), target(exit_price=float("nan")), target(exit_price=9.99), target({**A.STATE, "cash": 10.0})] == [0.0] * 6
+    assert target({**A.STATE, "avg_cost": 9.0}, exit_price=9.99) == 10.0  # leaves at 8.1, the cutoff of the last cost
+    assert target({**A.STATE, "avg_cost": 20.0}, exit_price=9.99) == 0.0
+    state = {**A.STATE, "target": 10.0, "atr_exit": 8.0}
+    for bet, stake in ((1.0, 100.0), (0.5, 50.0), (0.01, A.MIN_STAKE)):
+        got, done, price = A.account_step(state, bar, 100.0, 0.9, 2.0, bet)
+        assert (done, price) == ("BUY", 10.0) and got["cash"] == pytest.approx(1000 - stake) and got["position"] == pytest.approx(stake / 10)
+
+
 def test_regimes_of_separable_data():
     rng = np.random.default_rng(1)
     truth = np.repeat([0, 1, 0, 1], 60)
