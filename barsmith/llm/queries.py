@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .divergence import OP11_SQL, op11_divergence
 from .html import op10_html
 from .language import op1_language
 from .licenses import op9_licenses
@@ -12,6 +13,7 @@ from .simhash import op8_simhash
 from .spotsigs import op5_spotsigs
 from .toxicity import op6_toxicity
 from .warc import OP7_SQL, op7_warc
+from .wordbpe import op13_words
 
 QUERIES = {
     "op1_language": op1_language,
@@ -24,7 +26,10 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_licenses": op9_licenses,
     "op10_html": op10_html,
+    "op11_divergence": op11_divergence,
+    "op13_words": op13_words,
 }
 ORACLES: dict[str, str] = {
     "op7_warc": OP7_SQL,
+    "op11_divergence": OP11_SQL,
 }
