@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .bpe import op3_bpe
 from .divergence import OP11_SQL, op11_divergence
 from .html import op10_html
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_html": op10_html,
     "op11_divergence": op11_divergence,
+    "op12_alignment": op12_alignment,
     "op13_words": op13_words,
 }
 ORACLES: dict[str, str] = {
