@@ -7,16 +7,18 @@ import json
 import os
 import zlib
 from collections import defaultdict
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, read
 
-#: Characters of the texts that meet their words in one task, and words of a block that a task holds before it hands them on.
-BLOCK_CHARS, HELD = 32_000_000, 500_000
+#: Characters of the texts that meet their words in one task, and bytes that a task packs at once.
+BLOCK_CHARS, PACKED = 40_000_000, 32_000_000
 #: Words encoded by one call.
 CALL = 20_000
 
@@ -28,71 +30,103 @@ def vocabulary(path: str) -> dict[int, str]:
     return {i: piece for piece, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
 
 
+_open: dict[int, object] = {}
+
+
 def _tokenizer(raw: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    """The tokenizer of a file's text, opened once a worker."""
+    if (key := hash(raw)) not in _open:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    found = Tokenizer.from_str(raw)
-    found.no_truncation()
-    found.no_padding()
-    return found
+        _open[key] = Tokenizer.from_str(raw)
+        _open[key].no_truncation()
+        _open[key].no_padding()
+    return _open[key]
 
 
-def _words_of_blocks(texts: DataFrame, parts: int) -> DataFrame:
-    """(part, block, words): the distinct words of each block, dealt by a hash of the word; white space joins them."""
+def _packed(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
+    """(block, ids, sizes, data): texts dealt to blocks by a hash, packed and compressed before they are shuffled."""
 
     def work(batches):
-        held: dict[int, set[bytes]] = defaultdict(set)
+        held, size = defaultdict(lambda: ([], [])), 0
 
         def rows():
-            for block, found in held.items():
-                dealt = defaultdict(list)
-                for word in found:
-                    dealt[zlib.crc32(word) % parts].append(word)
-                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int32()), pa.array([b" ".join(x) for x in dealt.values()], pa.binary())], ["part", "block", "words"])
+            press = zstandard.ZstdCompressor(level=3)
+            for block, (ids, texts) in held.items():
+                sizes = np.array([len(t) for t in texts], "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([sizes.tobytes()], pa.binary()), pa.array([press.compress(b"".join(texts))], pa.binary())], ["block", "ids", "sizes", "data"])
             held.clear()
 
+        kind = None
         for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-                held[block].update(text.as_py().split())
-                if sum(map(len, held.values())) > HELD:
+            kind = batch.schema.field(0).type
+            for i, text, block in zip(*batch.columns, strict=True):
+                ids, texts = held[block.as_py()]
+                ids.append(i.as_py())
+                texts.append(text.as_py())
+                size += len(texts[-1])
+                if size > PACKED:
                     yield from rows()
+                    size = 0
         yield from rows()
 
-    return texts.select("block", "text").mapInArrow(work, "part int, block int, words binary")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    block = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), block.alias("block"))
+    return rows.mapInArrow(work, f"block int, ids array<{dict(docs.dtypes)[id_col]}>, sizes binary, data binary").repartition(blocks, "block")
+
+
+def _texts(sizes, data) -> list[bytes]:
+    flat, ends = zstandard.ZstdDecompressor().decompress(data.as_py()), np.cumsum(np.frombuffer(sizes.as_py(), "<u4"))
+    return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+
+def _dealt(words: set[bytes], parts: int) -> dict[int, list[bytes]]:
+    """Words by the part that a hash deals them to, in their order."""
+    dealt = defaultdict(list)
+    for word in sorted(words):
+        dealt[zlib.crc32(word) % parts].append(word)
+    return dealt
+
+
+def _words_of_blocks(packed: DataFrame, parts: int) -> DataFrame:
+    """(part, block, words): the distinct words of each block, those of a part in order; white space joins them."""
+
+    def work(batches):
+        held: dict[int, set[bytes]] = defaultdict(set)
+        for batch in batches:
+            for block, _, sizes, data in zip(*batch.columns, strict=True):
+                for text in _texts(sizes, data):
+                    held[block.as_py()].update(text.split())
+        for block, words in held.items():
+            for part, found in _dealt(words, parts).items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([b" ".join(found)], pa.binary())], ["part", "block", "words"])
+
+    return packed.mapInArrow(work, "part int, block int, words binary")
 
 
 def _encoded_words(words: DataFrame, parts: int, raw) -> DataFrame:
-    """(block, words, counts, ids): the words of each row with their numbers of ids and, in a row, their ids.
+    """(part, block, counts, ids): the numbers of ids of each row's words and, in a row, their ids.
 
     All blocks' askings for a word come to one task, whose table of distinct words encodes it once.
     """
 
     def work(batches):
-        tokenizer, known = None, {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            for block, joined in zip(batch.column("block"), batch.column("words"), strict=True):
+            for part, block, joined in zip(*batch.columns, strict=True):
                 asked = joined.as_py().split(b" ")
                 fresh = [w for w in asked if w not in known]
-                tokenizer = tokenizer or _tokenizer(raw.value)
                 for at in range(0, len(fresh), CALL):
                     some = fresh[at : at + CALL]
-                    for word, found in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                        known[word] = np.array(found.ids, "<u4").tobytes()
+                    for word, found in zip(some, _tokenizer(raw.value).encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+                        known[word] = np.array(found.ids, "<u2").tobytes()
                 ids = [known[w] for w in asked]
-                counts = np.array([len(x) // 4 for x in ids], "<u4")
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([joined.as_py()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([b"".join(ids)], pa.binary())], ["block", "words", "counts", "ids"])
-
-    return words.repartition(parts, "part").select("block", "words").mapInArrow(work, "block int, words binary, counts binary, ids binary")
-
+                counts = np.array([len(x) // 2 for x in ids], "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([block.as_py()], pa.int32()), pa.array([counts.tobytes()], pa.binary()), pa.array([b"".join(ids)], pa.binary())], ["part", "block", "counts", "ids"])
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> tuple[DataFrame, int]:
-    """(id, text as bytes, block) shuffled by block, and the number of blocks: as many as the texts' characters fill."""
-    total = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    block = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).cast("int")
-    return docs.select(F.col(id_col), text.cast("binary").alias("text"), block.alias("block")).repartition(blocks, "block"), blocks
+    return words.repartition(parts, "part").mapInArrow(work, "part int, block int, counts binary, ids binary")
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -103,42 +137,44 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     the same word meet in one task, which encodes it once, and the ids come back to the block, whose texts put them in the
     places of their words. The pieces of each distinct word's ids are joined in from the vocabulary, whose size bounds what
     is sent to tasks. A text stays in one row; repeated rows give repeated rows, other columns are not read, an empty table
-    gives none.
+    gives none. Vocabularies have up to 65,536 ids.
     """
     spark = docs.sparkSession
+    names = vocabulary(tokenizer_path)
+    if max(names) >= 1 << 16:
+        raise ValueError("a vocabulary of over 65,536 ids")
     with open(tokenizer_path, encoding="utf-8") as f:
         raw = spark.sparkContext.broadcast(f.read())
-    texts, blocks = _blocks(docs, id_col, text_col, block_chars)
-    parts = 4 * blocks
-    pieces = spark.sparkContext.broadcast(vocabulary(tokenizer_path))
-    found = _encoded_words(_words_of_blocks(texts, parts), parts, raw)
-    kind = dict(docs.dtypes)[id_col]
-    fields = [f"`{id_col}` {kind}", *(["ids array<int>"] if keep_ids else []), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
+    pieces = spark.sparkContext.broadcast(names)
+    blocks = max(1, -(-(docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // block_chars))
+    parts = 2 * blocks
+    packed = _packed(docs, id_col, text_col, blocks)
+    found = _encoded_words(_words_of_blocks(packed, parts), parts, raw)
+    fields = [f"`{id_col}` {dict(docs.dtypes)[id_col]}", *(["ids array<int>"] if keep_ids else []), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
 
     def place(text_rows: pa.Table, word_rows: pa.Table) -> pa.Table:
-        ids_of, pieces_of, piece = {}, {}, pieces.value
-        for joined, counts, ids in zip(*[word_rows[c] for c in ("words", "counts", "ids")], strict=True):
-            ends = np.cumsum(np.frombuffer(counts.as_py(), "<u4"))
-            flat = ids.as_py()
-            names = [piece[i] for i in np.frombuffer(flat, "<u4").tolist()]
-            start = 0
-            for word, end in zip(joined.as_py().split(b" "), ends.tolist(), strict=True):
-                ids_of[word] = flat[4 * start : 4 * end]
-                pieces_of[word] = " ".join(names[start:end]).encode()
-                start = end
+        texts = [t for x in zip(text_rows["sizes"], text_rows["data"], strict=True) for t in _texts(*x)]
+        dealt = _dealt({w for text in texts for w in text.split()}, parts)
+        table, piece = {}, pieces.value
+        for part, counts, ids in zip(*[word_rows[c] for c in ("part", "counts", "ids")], strict=True):
+            flat = np.frombuffer(ids.as_py(), "<u2")
+            wide, shown, ends = flat.astype("<u4").tobytes(), [piece[i] for i in flat.tolist()], np.cumsum(np.frombuffer(counts.as_py(), "<u4")).tolist()
+            for word, (a, b) in zip(dealt[part.as_py()], pairwise([0, *ends]), strict=True):
+                table[word] = wide[4 * a : 4 * b], " ".join(shown[a:b]).encode()
         all_ids, n, sha, dec = [], [], [], []
-        for text in text_rows["text"]:
-            words = text.as_py().split()
-            ids = b"".join(map(ids_of.__getitem__, words))
+        for text in texts:
+            words = list(map(table.__getitem__, text.split()))
+            ids = b"".join([x[0] for x in words])
             n.append(len(ids) // 4)
             sha.append(hashlib.sha256(ids).hexdigest())
-            dec.append(hashlib.sha256(b" ".join(filter(None, map(pieces_of.__getitem__, words)))).hexdigest())
+            dec.append(hashlib.sha256(b" ".join([x[1] for x in words if x[1]])).hexdigest())
             if keep_ids:
                 all_ids.append(np.frombuffer(ids, "<i4"))
-        cols = {id_col: text_rows[id_col]} | ({"ids": pa.array(all_ids, pa.list_(pa.int32()))} if keep_ids else {})
+        ids_of_rows = pa.concat_arrays([x.values for x in text_rows["ids"]])
+        cols = {id_col: ids_of_rows} | ({"ids": pa.array(all_ids, pa.list_(pa.int32()))} if keep_ids else {})
         return pa.table(cols | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(dec, pa.string())})
 
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(place, ", ".join(fields))
+    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(place, ", ".join(fields))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
