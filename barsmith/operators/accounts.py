@@ -14,22 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MIN_STAKE
+from .chunks import exponential_means, trend_levels, with_halo
 from .indicators import prior
 
 
 def ewm_columns(df: DataFrame, specs: dict[str, tuple[str, float, bool]], keys: tuple = ("symbol",)) -> DataFrame:
-    """``df`` with exponential means: name -> (column, alpha, adjust); one pass of each series for all of them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", ignore_index=True)
-        for name, (col, alpha, adjust) in specs.items():
-            pdf[name] = pdf[col].astype(float).ewm(alpha=alpha, adjust=adjust).mean()
-        return pdf
-
-    extra = ", ".join(f"{n} double" for n in specs)
-    base = ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    out = df.groupBy(*keys).applyInPandas(run, f"{base}, {extra}")
-    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in specs})
+    """``df`` with exponential means: name -> (column, alpha, adjust); one pass of each series' chunks for all of them."""
+    return exponential_means(df, specs, keys=keys)
 
 
 def span(n: float) -> float:
@@ -74,38 +65,18 @@ def rolling_kalman(close, vol, pred, vola, glv, glvola, w: int, q: float = 1e-3,
 
 
 def kalman_price(df: DataFrame, w: int, **options) -> DataFrame:
-    """``df`` with ``kalman``, from the columns of ``returns_block``; a bar depends on its last w bars only."""
+    """``df`` with ``kalman``, from the columns of ``returns_block``; a bar depends on its last w bars only, so chunks are filtered apart."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", ignore_index=True)
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         cols = [pdf[c].to_numpy(float) for c in ("close", "vol", "pred_price", "volatility", "global_log_vol", "global_log_volatility")]
         return pdf.assign(kalman=rolling_kalman(*cols, w, **options))
 
-    return df.groupBy("symbol").applyInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", kalman double")
+    return with_halo(df, w, fill, "kalman double")
 
 
 def trend_filter(df: DataFrame, q: float = 1e-4, r: float = 1e-2) -> DataFrame:
     """Two-state (level, trend) filter over the observations (ema, wma), from the first full wma."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", ignore_index=True)
-        z = pdf[["ema", "wma"]].to_numpy(float)
-        out, x, p = np.full(len(z), np.nan), None, np.eye(2)
-        f, h = np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([[1.0, 0.0], [1.0, 0.0]])
-        for i, obs in enumerate(z):
-            if np.isnan(obs).any():
-                continue
-            if x is None:
-                x = np.array([obs.mean(), 0.0])
-            else:
-                x, p = f @ x, f @ p @ f.T + q * np.eye(2)
-                k = p @ h.T @ np.linalg.inv(h @ p @ h.T + r * np.eye(2))
-                x, p = x + k @ (obs - h @ x), (np.eye(2) - k @ h) @ p
-            out[i] = x[0]
-        return pdf.assign(trend=out)
-
-    out = df.groupBy("symbol").applyInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", trend double")
-    return out.withColumn("trend", F.when(~F.isnan("trend"), F.col("trend")))
+    return trend_levels(df, q, r)
 
 
 def gaussian_regimes(x: np.ndarray, guess: np.ndarray, rounds: int = 50, tol: float = 1e-6) -> np.ndarray:
@@ -331,8 +302,7 @@ def haar_last(x: np.ndarray, levels: int = 4) -> float:
 def haar_smooth(df: DataFrame, n: int = 14, levels: int = 4) -> DataFrame:
     """``haar``: the approximation of the last n closes, its last value."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", ignore_index=True)
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf["close"].to_numpy(float)
         out = np.full(len(c), np.nan)
         if len(c) >= n:
@@ -344,5 +314,4 @@ def haar_smooth(df: DataFrame, n: int = 14, levels: int = 4) -> DataFrame:
             out[n - 1 :] = view[:, -1]
         return pdf.assign(haar=out)
 
-    out = df.groupBy("symbol").applyInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", haar double")
-    return out.withColumn("haar", F.when(~F.isnan("haar"), F.col("haar")))
+    return with_halo(df, n, fill, "haar double").withColumn("haar", F.when(~F.isnan("haar"), F.col("haar")))

@@ -15,6 +15,7 @@ from ..operators import signals as S
 from ..operators import wavelets
 from ..sources import tables as T
 from ..streaming import bars as B
+from ..streaming import late as N
 from .records import NET
 from .registry import BY, CANDLES, LABELS, TURTLE, q, query, r, roll, rounded
 from .windows import ACCELERATION, FILTERED, RECURSIVE, adjusted_sql, filtered, labels, turtle
@@ -203,12 +204,12 @@ def a23(spark, sf):
     return T.candles(spark, sf).withColumn("gap", gap).groupBy("symbol").agg(F.mode("gap", True).alias("seconds"))
 
 
-_CHAIN = ", ".join(f"{' and '.join(f'coalesce(lead(buy_signal, {j}) over ({BY}), false)' for j in range(1, k + 1))} and buy_signal as c{k}" for k in range(1, 5))
+_CHAIN = ", ".join(f"{' and '.join(f'coalesce(lead(buy_signal, {j}) over ({BY}), false)' for j in range(1, k + 1))} and buy_signal as c{k}" for k in range(1, 10))
 
 
-@query("a24_streak_odds", f"{LABELS}, ch as (select symbol, profit, {_CHAIN} from labels), f as ({' union all '.join(f'select symbol, {k} as k, profit, c{k} as c from ch' for k in range(1, 5))}), g as (select symbol, k, count(*) filter (c) as st, count(*) filter (c and profit > 0) as w, count(*) filter (c and profit <= 0) as l from f group by 1, 2) select symbol, k, {q('case when st = 0 then 1.0 else w / case when l = 0 then 1e-10 else l end end', 'odds', 4)} from g")
+@query("a24_streak_odds", f"{LABELS}, ch as (select symbol, profit, {_CHAIN} from labels), f as ({' union all '.join(f'select symbol, {k} as k, profit, c{k} as c from ch' for k in range(1, 10))}), g as (select symbol, k, count(*) filter (c) as st, count(*) filter (c and profit > 0) as w, count(*) filter (c and profit <= 0) as l from f group by 1, 2) select symbol, k, {q('case when st = 0 then 1.0 else w / case when l = 0 then 1e-10 else l end end', 'odds', 4)} from g")
 def a24(spark, sf):
-    df = D.streak_odds(labels(spark, sf), "buy_signal", 4)
+    df = D.streak_odds(labels(spark, sf), "buy_signal")
     return df.select("symbol", "k", r("odds", 4).alias("odds"))
 
 
@@ -488,15 +489,51 @@ def g13_whole(spark, sf):
 
 
 def _tick_stream(spark, sf, files: int | None = None):
+    """Ticks in four files of consecutive times, whatever their order inside a file."""
     path = T.scratch(spark, "ticks")
-    T.ticks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts").write.parquet(path)
+    B.write_in_order(_stamped(T.ticks(spark, sf)), path, "ts", 4, by=None)
     return B.replay(spark, path, B.TICK, files)
 
 
+def _stamped(ticks):
+    return ticks.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _local(df):
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("t1_closed_bars", f"{CANDLES} select symbol, ts, open, high, low, close, vol, n from candles where ts + interval 6 hours <= (select max(ts) from events) - interval 5 seconds")
 def t1(spark, sf):
-    df = B.drain(B.closed_bars(_tick_stream(spark, sf)), "closed-bars")
-    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """One file a trigger; every bar that the watermark passes, and no other row: no tick is late."""
+    return _local(B.drain(N.bars_and_late(_tick_stream(spark, sf, 1)), "closed-bars", typed=True)).drop("late")
+
+
+#: Every 50th tick comes after all others: it is late where its bar was due by then.
+LATE = """with t as (select event_type || '_' || (user_id % 4) as symbol, ts, time_bucket(interval 6 hours, ts) as bar, value + 1 as price, cast(json_extract_string(props, '$.k') as bigint) + 1 as qty, event_id % 50 = 0 as held from events),
+m as (select *, held and bar + interval 6 hours <= (select max(ts) from t where not held) - interval 5 seconds as late from t)"""
+
+
+def _held_stream(spark, sf):
+    path = T.scratch(spark, "held-ticks")
+    held = F.col("event_id") % 50 == 0
+    events = T.table(spark, sf, "events")
+    B.write_in_order(_stamped(T.ticks_of(events.filter(~held))), path, "ts", 4, by=None)
+    _stamped(T.ticks_of(events.filter(held))).coalesce(1).write.mode("append").parquet(path)
+    return B.replay(spark, path, B.TICK, 1)
+
+
+@query(
+    "t1_late_ticks",
+    f"""{LATE}, b as (select symbol, bar as ts, arg_min(price, ts) as open, max(price) as high, min(price) as low, arg_max(price, ts) as close, cast(sum(qty) as double) as vol, count(*) as n from m where not late group by symbol, bar),
+    l as (select symbol, bar as ts, count(*) as late from m where late group by symbol, bar)
+    select symbol, ts, open, high, low, close, vol, n, coalesce(late, 0) as late from (select * from b where ts + interval 6 hours <= (select max(ts) from t) - interval 5 seconds) full join l using (symbol, ts)""",
+)
+def t1_late(spark, sf):
+    """Bars of a stream in which every 50th tick comes last, and how many ticks each bar lost by that."""
+    out = _local(B.drain(N.bars_and_late(_held_stream(spark, sf)), "late-bars", typed=True))
+    bars = out.filter("late = 0").drop("late").join(N.late_ticks(out), ["symbol", "ts"], "full")
+    return bars.na.fill(0, ["late"])
 
 
 BAR_COLUMNS = "symbol string, ts timestamp, open double, high double, low double, close double, vol double"
@@ -552,14 +589,22 @@ def t6(spark, sf):
     return out.select("symbol", "rn", "side", r("held", 4).alias("held"), r("avg_cost", 4).alias("avg_cost"), r(F.when(~F.isnan("profit"), F.col("profit")), 4).alias("profit"))
 
 
-@query("t7_day_volume", "with t as (select event_type || '_' || (user_id % 4) as symbol, ts, cast(json_extract_string(props, '$.k') as bigint) + 1 as qty from events), s as (select symbol, time_bucket(interval 6 hours, ts) + k * interval 6 hours as ts, qty from t, (select unnest([1, 2, 3, 4]) as k)) select symbol, ts, cast(sum(qty) as double) as day_vol from s where ts <= (select max(ts) from events) - interval 5 seconds group by symbol, ts")
+@query(
+    "t7_day_volume",
+    """with t as (select event_type || '_' || (user_id % 4) as symbol, ts, cast(json_extract_string(props, '$.k') as bigint) + 1 as qty from events),
+    s as (select symbol, time_bucket(interval 6 hours, ts) + k * interval 6 hours as ts, qty from t, (select unnest([1, 2, 3, 4]) as k)),
+    d as (select symbol, ts, cast(sum(qty) as double) as day_vol from s where ts <= (select max(ts) from events) - interval 5 seconds group by symbol, ts)
+    select symbol, ts, day_vol, day_vol / avg(day_vol) over (partition by symbol order by ts rows unbounded preceding) < 0.6 as hold from d""",
+)
 def t7(spark, sf):
-    return B.drain(B.day_volume(_tick_stream(spark, sf)), "day-volume").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """The last day's volume every six hours, and whether it is under 0.6 of its mean so far; one file a trigger."""
+    return _local(B.drain(N.volumes_and_late(_tick_stream(spark, sf, 1)), "day-volume", typed=True)).drop("late")
 
 
 @query("t8_statements", f"{CANDLES} select symbol, ts, close from candles")
 def t8(spark, sf):
-    return B.drain(_bar_stream(spark, sf, 1).select("symbol", "ts", "close"), "statements", statements=True).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "close")
+    """Statements merged by symbol and bar, a file a trigger."""
+    return _local(B.drain(_bar_stream(spark, sf, 1).select("symbol", "ts", "close"), "statements", statements=True))
 
 
 @query("t9_replay", "select event_type || '_' || (user_id % 4) as symbol, ts, value + 1 as price, cast(json_extract_string(props, '$.k') as bigint) + 1 as qty from events")

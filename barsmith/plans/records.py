@@ -91,12 +91,12 @@ def s9(spark, sf):
 
 @query("s10_bar_store", f"{CANDLES} select {BARS} from candles where symbol like 'click%'")
 def s10(spark, sf):
-    """Bars appended in two batches to a store partitioned by symbol; the read prunes to the wanted symbols."""
+    """Bars merged into a store by symbol in two versions, the second given twice; the read prunes to the wanted symbols."""
     path, bars = T.scratch(spark, "bar-store"), T.candles(spark, sf).select(*BAR)
     late = F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")
-    T.write_by_symbol(bars.filter(~late), path)
-    T.write_by_symbol(bars.filter(late), path)
-    return spark.read.parquet(path).filter(F.col("symbol").startswith("click")).select(*BAR)
+    for version, some in ((0, bars.filter(~late)), (1, bars.filter(late)), (1, bars.filter(late))):
+        T.upsert(some, path, version, ("symbol", "ts"), "symbol")
+    return T.read_store(spark, path, bars.schema, "symbol").filter(F.col("symbol").startswith("click")).select(*BAR)
 
 
 @query("s11_train_test_split", f"{CANDLES} select symbol, ts, case when row_number() over ({BY}) <= floor(count(*) over (partition by symbol) * 0.4) then 'train' else 'test' end as part from candles")

@@ -35,8 +35,12 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, ts, price, qty): an event is a trade of ``event_type_(user_id % 4)``."""
+    return ticks_of(table(spark, sf_dir, "events"))
+
+
+def ticks_of(events: DataFrame) -> DataFrame:
     symbol = F.concat_ws("_", "event_type", (F.col("user_id") % 4).cast("string"))
-    return table(spark, sf_dir, "events").select(symbol.alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("value") + 1).alias("price"), (F.get_json_object("props", "$.k").cast("long") + 1).alias("qty"))
+    return events.select(symbol.alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("value") + 1).alias("price"), (F.get_json_object("props", "$.k").cast("long") + 1).alias("qty"))
 
 
 def bars(trades: DataFrame, interval: str = "6 hours") -> DataFrame:
@@ -76,6 +80,44 @@ def write_by_symbol(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.repartition("symbol").write.partitionBy("symbol").option("header", True).format(fmt).mode("append").save(path)
 
 
+def upsert(df: DataFrame, path: str, version: int, keys: tuple, part: str) -> None:
+    """Merge rows into a store by key: of rows with the same ``keys`` the one of the highest version counts.
+
+    A version's folder holds all rows of the parts that it touches, those of earlier versions among them, so the rest of the
+    store is neither read nor written, and a version given again after a failure replaces itself. Versions count from 0.
+    """
+    spark, cols = df.sparkSession, [c for c in df.columns if c != part]
+    df.limit(0).write.mode("ignore").partitionBy(part).parquet(f"{path}/store_version=-1")
+    touched = df.select(part).distinct()
+    before = _newest(_versions(spark, path, df.schema).filter(F.col("store_version") < version).join(touched, part, "left_semi"), part)
+    both = before.select(*df.columns, F.lit(0).alias("newer_")).unionByName(df.withColumn("newer_", F.lit(1)))
+    last = both.groupBy(*keys, *([] if part in keys else [part])).agg(F.max_by(F.struct(*cols), F.struct("newer_", *[c for c in cols if c not in keys])).alias("row_"))
+    last.select(*[F.col(f"row_.{c}").alias(c) for c in cols], part).repartition(part).write.mode("overwrite").partitionBy(part).parquet(f"{path}/store_version={version}")
+
+
+def _versions(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("store_version", T.LongType())])).parquet(path)
+
+
+def _newest(rows: DataFrame, part: str) -> DataFrame:
+    """The rows of each part's newest version; only folder names are grouped where the store's files are listed."""
+    return rows.join(rows.groupBy(part).agg(F.max("store_version").alias("store_version")), [part, "store_version"])
+
+
+def read_store(spark: SparkSession, path: str, schema, part: str) -> DataFrame:
+    """The rows of a store of ``upsert``, one a key, under the schema they were given with."""
+    return _newest(_versions(spark, path, schema), part).select(*[f.name for f in schema.fields])
+
+
+def merge_statements(df: DataFrame, path: str, batch: int) -> None:
+    """A stream's batch of rows (symbol, ts, ...) into a store by day: a batch given twice or a corrected bar leaves one row a bar."""
+    upsert(df.withColumn("day", F.to_date("ts")), path, batch, ("symbol", "ts"), "day")
+
+
+def read_statements(spark: SparkSession, path: str, schema) -> DataFrame:
+    return read_store(spark, path, T.StructType([*schema.fields, T.StructField("day", T.DateType())]), "day").drop("day")
+
+
 def read_fills_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILL).option("header", True).csv(path)
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.accounts import STATE, account_step, fill_step
-from ..sources.tables import scratch
+from ..sources.tables import merge_statements, read_statements, scratch
+from .late import ROCKS
 
 TICK = "symbol string, ts timestamp, price double, qty long"
 
@@ -23,7 +24,7 @@ def replay(spark: SparkSession, path: str, schema: str, files_per_trigger: int |
 
 
 def closed_bars(ticks: DataFrame, interval: str = "6 hours", delay: str = "5 seconds") -> DataFrame:
-    """Bars that the watermark has passed: late ticks inside ``delay`` count, later ones are dropped."""
+    """Bars that the watermark has passed: late ticks inside ``delay`` count, later ones are dropped unseen (``late.bars_and_late`` counts them)."""
     grouped = ticks.withWatermark("ts", delay).groupBy(F.window("ts", interval), "symbol")
     out = grouped.agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("qty").cast("double").alias("vol"), F.count("*").alias("n"))
     return out.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "vol", "n")
@@ -94,18 +95,23 @@ def latest(updates: DataFrame) -> DataFrame:
     return kept.select("row.*")
 
 
-def write_in_order(df: DataFrame, path: str, order: str, parts: int) -> None:
+def write_in_order(df: DataFrame, path: str, order: str, parts: int, by: str | None = "symbol") -> None:
     """Write a table as a stream's files in ``parts`` consecutive ranges of ``order``, a symbol's rows of a range in one file.
 
     A range is written when the one before it is there, and the file source takes older files first, so a symbol's rows
-    arrive in order however few files a trigger takes.
+    arrive in order however few files a trigger takes. Without ``by`` a range is one file, so that symbols keep step too.
+    The table is made once, in the shared folder, and each range read from there.
     """
+    spark, made = df.sparkSession, scratch(df.sparkSession, "ordered")
+    df.write.parquet(made)
+    df = spark.read.schema(df.schema).parquet(made)
     value = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order).cast("long")
     cuts = df.select(value.alias("v")).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 1000).alias("c")).first()["c"] or []
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         inside = (value > low if low is not None else F.lit(True)) & (value <= high if high is not None else F.lit(True))
-        df.filter(inside).repartition("symbol").write.mode("append").parquet(path)
+        some = df.filter(inside)
+        (some.repartition(by) if by else some.coalesce(1)).write.mode("append").parquet(path)
 
 
 def _account(cap: float, hard_cutoff: float, ratio: float, bet: float):
@@ -142,14 +148,24 @@ def ledger_updates(fills: DataFrame) -> DataFrame:
     return fills.groupBy("symbol").applyInPandasWithState(_order_update, out, "account string", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, label: str, statements: bool = False) -> DataFrame:
-    """Run a stream over what is there, into Parquet files; ``statements`` appends each batch by itself."""
+def drain(stream: DataFrame, label: str, statements: bool = False, typed: bool = False) -> DataFrame:
+    """Run a stream over what is there, into Parquet files; ``statements`` merges each batch by key and keeps one row a key.
+
+    ``typed`` runs it on the store that typed state and timers need.
+    """
     spark, path = stream.sparkSession, scratch(stream.sparkSession, label)
-    writer = stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).outputMode("append")
-    if statements:
-        run = writer.foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)).start()
-    else:
-        run = writer.format("parquet").option("path", path).start()
-    run.awaitTermination()
-    schema = stream.schema.add("batch", "long") if statements else stream.schema
-    return spark.read.schema(schema).parquet(path)
+    name, before = "spark.sql.streaming.stateStore.providerClass", None
+    if typed:
+        before = spark.conf.get(name)
+        spark.conf.set(name, ROCKS)
+    try:
+        writer = stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).outputMode("append")
+        if statements:
+            run = writer.foreachBatch(lambda df, batch: merge_statements(df, path, batch)).start()
+        else:
+            run = writer.format("parquet").option("path", path).start()
+        run.awaitTermination()
+    finally:
+        if typed:
+            spark.conf.set(name, before)
+    return read_statements(spark, path, stream.schema) if statements else spark.read.schema(stream.schema).parquet(path)
