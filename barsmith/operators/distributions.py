@@ -49,7 +49,8 @@ def likelihood(df: DataFrame, windows: int, by: str = "symbol") -> DataFrame:
 
 
 def engine_likelihood(df: DataFrame, windows: int, by: str = "symbol") -> DataFrame:
-    """Neutral without enough profits; otherwise weighted odds of the distribution, with the smallest loss as loss margin."""
+    """Neutral without enough profits; otherwise weighted odds of the distribution, with the smallest loss as loss margin and
+    the gains' densest place as profit margin, 0 where they have one value at most."""
     mid, known = windows / 2, F.col("profit").isNotNull()
     agg = df.groupBy(by).agg(
         F.count("*").alias("n"), F.count("profit").alias("known"), F.count_distinct(F.round("profit", 5)).alias("points"),
@@ -57,8 +58,9 @@ def engine_likelihood(df: DataFrame, windows: int, by: str = "symbol") -> DataFr
     )
     neutral = (F.col("n") < mid) | (F.col("known") == 0)
     raw = F.when(F.col("points") > 2, 1 / F.when(F.col("p_loss") == 0, 0.1).otherwise(F.col("p_loss")) - (1 - 10.0**-mid)).otherwise(1.0)
-    return agg.select(
-        by, F.when(neutral, 1.0).otherwise(evidence_weight(F.col("n"), mid) * raw).alias("likelihood"),
+    gains = density_peaks(df.filter("profit > 0"), by)
+    return agg.join(gains, by, "left").select(
+        by, F.when(neutral | F.col("peak").isNull(), 0.0).otherwise(F.col("peak")).alias("profit_margin"), F.when(neutral, 1.0).otherwise(evidence_weight(F.col("n"), mid) * raw).alias("likelihood"),
         F.when(neutral | (F.col("points") <= 2), 0.5).otherwise(1 - F.col("p_loss")).alias("p_win"),
         F.when(neutral | (F.col("losses") <= 1), 0.0).otherwise(F.abs("worst")).alias("loss_margin"),
     )
@@ -76,14 +78,56 @@ def kde_peak(x: np.ndarray, points: int = 1000, block: int = 4096) -> float:
     return float(grid[total.argmax()])
 
 
-def density_peaks(df: DataFrame, by: str = "symbol", points: int = 1000) -> DataFrame:
-    """(by, peak) of each group's profits: the density is summed over the group's distinct rounded values."""
+def binned_peak(bins: np.ndarray, counts: np.ndarray, n: int, low: float, high: float, width: float, points: int) -> float:
+    """The first of ``points`` even places from ``low`` to ``high`` where the counts' density is within a billionth of its largest."""
+    step = (high - low) / (points - 1)
+    apart = (np.arange(points)[:, None] - bins[None, :]) * (step / width)
+    density = (np.exp(-0.5 * apart**2) * counts).sum(1)
+    return float(low + step * np.flatnonzero(density >= density.max() * (1 - 1e-9))[0])
 
-    def peak(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "peak": [kde_peak(pdf["profit"].to_numpy(float), points)]})
 
-    found = df.filter("profit is not null").select(by, "profit").groupBy(by).applyInPandas(peak, f"{by} string, peak double")
-    return found.withColumn("peak", F.when(~F.isnan("peak"), F.col("peak")))
+def density_peaks(df: DataFrame, by: str = "symbol", points: int = 1000, value: str = "profit") -> DataFrame:
+    """(by, peak): where each group's values are densest under a Gaussian kernel of Scott's width, on ``points`` even places.
+
+    Values go to the nearest place, and places are counted before they are shuffled: a group costs its places and not its
+    values, at most ``points`` of them. Null without two different values.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    stats = known.groupBy(by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_samp("v").alias("std"))
+    width = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    stats = stats.filter("high > low").select(by, "n", "low", "high", width.alias("width"))
+    place = F.round((F.col("v") - F.col("low")) / ((F.col("high") - F.col("low")) / (points - 1))).cast("int")
+    counted = known.join(stats, by).groupBy(by, "n", "low", "high", "width", place.alias("bin")).agg(F.count("*").alias("times"))
+    bins = counted.groupBy(by, "n", "low", "high", "width").agg(F.collect_list(F.struct("bin", "times")).alias("bins"))
+
+    @F.pandas_udf("double")
+    def peak(bins: pd.Series, n: pd.Series, low: pd.Series, high: pd.Series, width: pd.Series) -> pd.Series:
+        out = []
+        for b, *rest in zip(bins, n, low, high, width, strict=True):
+            at, times = (np.array([x[k] for x in b], float) for k in ("bin", "times"))
+            out.append(binned_peak(at, times, *rest, points))
+        return pd.Series(out, dtype=float)
+
+    found = bins.select(by, peak(F.expr("array_sort(bins)"), "n", "low", "high", "width").alias("peak"))
+    return known.select(by).distinct().join(found, by, "left")
+
+
+#: Aggregates by name, each a function of (table, group column, value column) that gives (group, name).
+AGGREGATES = {
+    "mean": lambda df, by, value: df.groupBy(by).agg(F.avg(value).alias("mean")),
+    "median": lambda df, by, value: df.groupBy(by).agg(F.median(value).alias("median")),
+    "density_peak": lambda df, by, value: density_peaks(df, by, value=value).withColumnRenamed("peak", "density_peak"),
+}
+
+
+def aggregate_with(df: DataFrame, names: tuple, by: str = "symbol", value: str = "profit") -> DataFrame:
+    """(by, a column for each name) of registered aggregates; register more in ``AGGREGATES``. An unknown name raises."""
+    out = df.select(by).distinct()
+    for name in names:
+        if name not in AGGREGATES:
+            raise ValueError(f"no aggregate {name}")
+        out = out.join(AGGREGATES[name](df, by, value), by, "left")
+    return out
 
 
 def conditional_likelihood(df: DataFrame, signal: str, by: str = "symbol") -> DataFrame:
@@ -166,12 +210,12 @@ def update_odds(pdf: pd.DataFrame, like: str = "likelihood", start: float = 0.5)
 
 
 def win_updates(likes: DataFrame) -> DataFrame:
-    """The posterior chain of each symbol's signal bars in time order; only those rows are grouped."""
+    """``likes`` with ``posterior``, the chain of each symbol's signal bars in time order; only those rows are grouped."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return update_odds(pdf.sort_values("today", ignore_index=True))[["symbol", "today", "posterior"]]
+        return update_odds(pdf.sort_values("today", ignore_index=True))
 
-    return likes.select("symbol", "today", "likelihood").groupBy("symbol").applyInPandas(run, "symbol string, today timestamp_ntz, posterior double")
+    return likes.groupBy("symbol").applyInPandas(run, ", ".join(f"{c} {t}" for c, t in likes.dtypes) + ", posterior double")
 
 
 def with_bets(bets: DataFrame) -> DataFrame:

@@ -257,13 +257,16 @@ def weighted_mean(df: DataFrame, n: int = 10) -> DataFrame:
     return df.withColumn("wma", total / (n * (n + 1) / 2))
 
 
-def volatility_gate(df: DataFrame, n: int, ring: int = 10, level: float = 5.0) -> DataFrame:
-    """open_gate: the latest deviation is at least the median of the last ``ring`` ones; then the plan has its levels
-    ``level`` deviations below and above the mean."""
-    df = df.withColumns({"mean": rolling(F.avg, F.col("close"), n), "std": rolling(F.stddev_samp, F.col("close"), n)})
+def volatility_plan(df: DataFrame, n: int, plan: list[tuple[str, int, float]], profit: Column, ring: int = 10) -> DataFrame:
+    """(symbol, ts, action, level, ratio, price): each bar's plan where its deviation is at least the median of the last
+    ``ring`` ones, none elsewhere. Buys (B) stand ``level`` deviations from the mean, sells (S) from ``profit``, the least price
+    that pays."""
+    df = df.withColumns({"mean": rolling(F.avg, F.col("close"), n), "std": rolling(F.stddev_samp, F.col("close"), n), "profit_": profit})
     median = F.percentile("std", 0.5).over(series().rowsBetween(-(ring - 1), 0))
-    df = df.withColumn("open_gate", yes(F.col("std") >= median))
-    return df.withColumns({"buy_level": F.when(F.col("open_gate"), F.col("mean") - level * F.col("std")), "sell_level": F.when(F.col("open_gate"), F.col("mean") + level * F.col("std"))})
+    rows = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(lv).alias("level"), F.lit(x).alias("ratio")) for a, lv, x in plan])
+    df = df.withColumn("median_", median).filter("std >= median_").withColumn("p", F.explode(rows))
+    base = F.when(F.col("p.action") == "S", F.col("profit_")).otherwise(F.col("mean"))
+    return df.select("symbol", "ts", "p.action", "p.level", "p.ratio", (base + F.col("p.level") * F.col("std")).alias("price"))
 
 
 def missing_bars(df: DataFrame, seconds: int) -> DataFrame:
@@ -272,8 +275,10 @@ def missing_bars(df: DataFrame, seconds: int) -> DataFrame:
     return df.withColumn("gap", gap).filter(F.col("gap") > seconds).withColumn("missing", (F.col("gap") / seconds).cast("long") - 1)
 
 
-def volume_hold(df: DataFrame, hours: int = 18, least: float = 0.6) -> DataFrame:
-    """``day_vol``, the volume of the last hours, and ``hold``, true where it is under ``least`` of the symbol's mean of it."""
+def volume_hold(df: DataFrame, hours: int = 18, least: float = 0.6, causal: bool = False) -> DataFrame:
+    """``day_vol``, the volume of the last hours, and ``hold``, true where it is under ``least`` of the symbol's mean of it
+    (``causal``: of its mean so far)."""
     last = Window.partitionBy("symbol").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-hours * 3600, 0)
     df = df.withColumn("day_vol", F.sum("vol").over(last))
-    return df.withColumn("hold", F.col("day_vol") / F.avg("day_vol").over(Window.partitionBy("symbol")) < least)
+    whole = series().rowsBetween(Window.unboundedPreceding, 0) if causal else Window.partitionBy("symbol")
+    return df.withColumn("hold", F.col("day_vol") / F.avg("day_vol").over(whole) < least)

@@ -10,6 +10,7 @@ from ..operators import accounts as A
 from ..operators import distributions as D
 from ..operators import indicators as I
 from ..operators import labels as L
+from ..operators import regimes as R
 from ..operators import reviews as V
 from ..operators import signals as S
 from ..operators import wavelets
@@ -120,22 +121,38 @@ def a12(spark, sf):
     return df.select("symbol", "n", r("likelihood", 4).alias("likelihood"))
 
 
+#: The densest place of values on 1000 even places by a Gaussian kernel: places are counted, and their counts meet every place.
+def peak_sql(name: str, source: str) -> str:
+    return f"""{name}_s as (select symbol, count(*) as n, min(profit) as lo, max(profit) as hi, stddev_samp(profit) * pow(count(*), -0.2) as width from {source} group by symbol having max(profit) > min(profit)),
+    {name}_b as (select symbol, lo, hi, width, round((profit - lo) / ((hi - lo) / 999)) as bin, count(*) as times from {source} join {name}_s using (symbol) group by all),
+    {name}_d as (select symbol, lo, hi, place, sum(times * exp(-0.5 * pow((place - bin) * ((hi - lo) / 999 / width), 2))) as density from {name}_b, (select unnest(range(0, 1000)) as place) group by all),
+    {name} as (select symbol, any_value(lo) + any_value(hi - lo) / 999 * min(place) as peak from (select *, max(density) over (partition by symbol) as most from {name}_d) where density >= most * (1 - 1e-9) group by symbol)"""
+
+
 @query(
     "a13_engine_likelihood",
-    f"""{LABELS}, g as (select symbol, count(*) as n, count(profit) as k, count(distinct round(profit, 5)) as pts, avg(case when profit is not null then case when profit <= 0 then 1.0 else 0.0 end end) as pl, count(distinct case when profit <= 0 then profit end) as nl, min(profit) as worst from labels group by symbol)
-    select symbol, {q("case when n < 60 or k = 0 then 1.0 else 1 / (1 + exp(-(n - 60.0))) * case when pts > 2 then 1 / case when pl = 0 then 0.1 else pl end - (1 - pow(10, -60.0)) else 1.0 end end", "likelihood", 4)},
-    {q("case when n < 60 or k = 0 or pts <= 2 then 0.5 else 1 - pl end", "p_win")}, {q("case when n < 60 or k = 0 or nl <= 1 then 0.0 else abs(worst) end", "loss_margin")} from g""",
+    f"""{LABELS}, g as (select symbol, count(*) as n, count(profit) as k, count(distinct round(profit, 5)) as pts, avg(case when profit is not null then case when profit <= 0 then 1.0 else 0.0 end end) as pl, count(distinct case when profit <= 0 then profit end) as nl, min(profit) as worst from labels group by symbol),
+    gn as (select symbol, profit from labels where profit > 0), {peak_sql("gp", "gn")}
+    select symbol, {q("case when n < 60 or k = 0 then 0.0 else coalesce(peak, 0.0) end", "profit_margin")}, {q("case when n < 60 or k = 0 then 1.0 else 1 / (1 + exp(-(n - 60.0))) * case when pts > 2 then 1 / case when pl = 0 then 0.1 else pl end - (1 - pow(10, -60.0)) else 1.0 end end", "likelihood", 4)},
+    {q("case when n < 60 or k = 0 or pts <= 2 then 0.5 else 1 - pl end", "p_win")}, {q("case when n < 60 or k = 0 or nl <= 1 then 0.0 else abs(worst) end", "loss_margin")} from g left join gp using (symbol)""",
 )
 def a13(spark, sf):
     df = D.engine_likelihood(labels(spark, sf), 120)
-    return df.select("symbol", r("likelihood", 4).alias("likelihood"), r("p_win").alias("p_win"), r("loss_margin").alias("loss_margin"))
+    return df.select("symbol", r("profit_margin").alias("profit_margin"), r("likelihood", 4).alias("likelihood"), r("p_win").alias("p_win"), r("loss_margin").alias("loss_margin"))
 
 
-@query("a14_density_peak")
+@query("a14_density_peak", f"{KNOWN}, {peak_sql('pk', 'known')} select symbol, {q('peak', 'peak')} from (select distinct symbol from known) left join pk using (symbol)")
 def a14(spark, sf):
     return rounded(D.density_peaks(labels(spark, sf)), "symbol", peak="peak")
 
 
+@query("d6_aggregates", f"{KNOWN}, {peak_sql('pk', 'known')}, g as (select symbol, avg(profit) as mean, median(profit) as median from known group by symbol) select symbol, {q('mean', 'mean')}, {q('median', 'median')}, {q('peak', 'density_peak')} from g left join pk using (symbol)")
+def d6(spark, sf):
+    """Registered aggregates by name, the density peak among them."""
+    out = D.aggregate_with(labels(spark, sf).filter("profit is not null"), ("mean", "median", "density_peak"))
+    return rounded(out, "symbol", mean="mean", median="median", density_peak="density_peak")
+
+
 @query(
     "a15_conditional_likelihood",
     f"""{KNOWN}, g as (select symbol, coalesce(avg(case when profit > 0 then case when buy_signal then 1.0 else 0.0 end end), 0) as pw, coalesce(avg(case when profit <= 0 then case when buy_signal then 1.0 else 0.0 end end), 0) as pl from known group by symbol)
@@ -321,6 +338,20 @@ def g3(spark, sf):
     return A.regimes(I.regime_features(filtered(spark, sf)).select("symbol", "ts", "slope", *features), features).select("symbol", "ts", "up")
 
 
+FEATURES = ["kreturn", "kreturn_vol", "rvolume", "slope"]
+
+
+def _regimes(spark, sf):
+    """Regimes fitted on the first half of each series; features and labels see no later bar."""
+    df = I.regime_features(filtered(spark, sf), causal=True).select("symbol", "ts", *FEATURES)
+    return R.causal_regimes(df, FEATURES).select("symbol", "ts", "up")
+
+
+@query("g3_causal_regimes")
+def g3_causal(spark, sf):
+    return _regimes(spark, sf)
+
+
 @query(
     "g4_win_updates",
     f"""{TRAIL.replace("with ticks", "with recursive ticks", 1)}, nm as (select *, 1 / (1 + exp(-(n - 3))) * (1 - pl) / greatest(pl, 1e-6) as lik, row_number() over (partition by symbol order by today) as rn from lk),
@@ -332,7 +363,7 @@ def g3(spark, sf):
 )
 def g4(spark, sf):
     likes = D.signal_likelihoods(labels(spark, sf), "buy_signal", 40, 21600)
-    bets = D.with_bets(D.win_updates(likes).join(likes.drop("likelihood"), ["symbol", "today"]))
+    bets = D.with_bets(D.win_updates(likes))
     return bets.select("symbol", "today", r("posterior").alias("posterior"), r("kelly", 4).alias("kelly"), r("expected", 5).alias("expected"))
 
 
@@ -449,6 +480,14 @@ def a6_final(spark, sf):
     return out.select("symbol", r("cash", 4).alias("cash"), r("position").alias("position"), r("avg_cost").alias("avg_cost"), r("profit", 4).alias("profit"))
 
 
+@query("g9_regime_account")
+def g9_regime(spark, sf):
+    """The paper account behind the whole gate: a buy needs the upper regime too, and volume is held against its mean so far."""
+    levels = I.volume_hold(I.take_profit(turtle(spark, sf), 10, 3), causal=True).join(_regimes(spark, sf), ["symbol", "ts"])
+    out = A.paper_account(levels.withColumn("buy_signal", F.col("buy_signal") & F.coalesce("up", F.lit(False))))
+    return out.select("symbol", "ts", "reason", r("price").alias("price"), r("cash", 4).alias("cash"), r("position").alias("position"), r("avg_cost").alias("avg_cost"))
+
+
 LAST = f"{LEDGER}, la as (select symbol, arg_max(held, rn) as held, arg_max(avg_cost, rn) as avg_cost, arg_max(cash, rn) as cash, arg_max(price, rn) as last_price from led group by symbol)"
 
 
@@ -561,13 +600,21 @@ def t3(spark, sf):
     return B.drain(B.unique_events(twice, ["symbol", "ts"]), "unique").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "price")
 
 
-LEVELS = "lv as (select symbol, avg(low) * 0.3 as cutoff, avg(low) * 0.4 as atr_exit, avg(high) * 1.5 as profit_leave from candles group by symbol)"
-
-
-@query("t4_tick_exits", f"{CANDLES}, {LEVELS} select t.symbol, t.ts, t.price, case when price <= cutoff * 1.0001 then 'CUTOFF' when price < atr_exit * 1.0001 then 'ATR_EXIT' else 'PROFIT_LEAVE' end as reason from ticks t join lv using (symbol) where price <= cutoff * 1.0001 or price < atr_exit * 1.0001 or price >= profit_leave * 0.99")
+@query(
+    "t4_tick_exits",
+    f"""{TURTLE}, lv as (select symbol, ts + interval 6 hours as ts, low * 0.6 as cutoff, exit_price as atr_exit, turtle_h as profit_leave from turtle),
+    m as (select t.symbol, t.ts, t.price, lv.cutoff, lv.atr_exit, lv.profit_leave from ticks t asof join lv on t.symbol = lv.symbol and t.ts >= lv.ts where time_bucket(interval 6 hours, t.ts) + interval 6 hours <= (select max(ts) from ticks) - interval 5 seconds),
+    x as (select symbol, ts, price, case when price <= cutoff * 1.0001 then 'CUTOFF' when price < atr_exit * 1.0001 then 'ATR_EXIT' when price >= profit_leave * 0.99 then 'PROFIT_LEAVE' end as reason from m)
+    select symbol, ts, price, reason from x where reason is not null""",
+)
 def t4(spark, sf):
-    levels = T.candles(spark, sf).groupBy("symbol").agg((F.avg("low") * 0.3).alias("cutoff"), (F.avg("low") * 0.4).alias("atr_exit"), (F.avg("high") * 1.5).alias("profit_leave"))
-    return B.drain(B.tick_exits(_tick_stream(spark, sf), levels), "exits").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """Each tick against the levels of its symbol's last closed bar, both as streams; no tick sees a later bar."""
+    path = T.scratch(spark, "tick-levels")
+    closed = (F.col("ts") + F.expr("interval 6 hours")).cast("timestamp")
+    levels = turtle(spark, sf).select("symbol", closed.alias("ts"), (F.col("low") * 0.6).alias("cutoff"), F.col("exit_price").alias("atr_exit"), F.col("turtle_h").alias("profit_leave"))
+    B.write_in_order(levels, path, "ts", 4, by=None)
+    met = N.ticks_with_levels(_tick_stream(spark, sf, 1), B.replay(spark, path, "symbol string, ts timestamp, cutoff double, atr_exit double, profit_leave double", 1))
+    return _local(B.drain(B.tick_exits(met), "exits", typed=True))
 
 
 @query("t5_stream_accounts", BAR_ACCOUNTS)

@@ -10,7 +10,7 @@ from ..operators import accounts as A
 from ..operators import indicators as I
 from ..operators import labels as L
 from ..sources import tables as T
-from .registry import BY, CANDLES, FILLS, LABELS, TURTLE, q, query, r
+from .registry import PLAN, BY, CANDLES, FILLS, LABELS, TURTLE, q, query, r
 from .windows import labels, turtle
 
 BAR = ("symbol", "ts", "open", "high", "low", "close", "vol")
@@ -235,8 +235,6 @@ def j6(spark, sf):
     return T.candles(spark, sf).select("symbol").distinct().join(recent, "symbol", "left_semi")
 
 
-#: Action, level in deviations and share of each order of the plan.
-PLAN = [("S", 10, 0.25), ("S", 7, 0.25), ("S", 5, 0.5), ("B", -5, 0.125), ("B", -7, 0.125), ("B", -9, 0.25), ("B", -11, 0.5)]
 
 
 @query(

@@ -11,7 +11,7 @@ from ..operators import indicators as I
 from ..operators import labels as L
 from ..operators import reviews as V
 from ..sources.tables import candles
-from .registry import BY, CANDLES, LABELS, TURTLE, q, query, r, roll, rounded
+from .registry import BY, CANDLES, LABELS, PLAN, TURTLE, q, query, r, roll, rounded
 
 
 def turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,14 +372,19 @@ def w27(spark, sf):
     return df.select("symbol", "ts", r("top").alias("top"), r("low").alias("low"), r("fib1_618").alias("fib1_618"), "in_tunnel", "breakout", "long", "short")
 
 
-GATE = f"""{CANDLES}, g as (select *, {roll("avg", "close", 10)} as mean, {roll("stddev_samp", "close", 10)} as std from candles),
+GATE = f"""{CANDLES}, g as (select *, {roll("avg", "close", 10)} as mean, {roll("stddev_samp", "close", 10)} as std, {roll("max", "close", 10)} as top from candles),
     gm as (select *, quantile_cont(std, 0.5) over ({BY} rows between 9 preceding and current row) as median from g)"""
 
 
-@query("w28_volatility_gate", f"{GATE} select symbol, ts, {q('mean', 'mean')}, {q('std', 'std')}, coalesce(std >= median, false) as open_gate, {q('case when std >= median then mean - 5 * std end', 'buy_level')}, {q('case when std >= median then mean + 5 * std end', 'sell_level')} from gm")
+@query(
+    "w28_volatility_gate",
+    f"""{GATE}, p(action, level, ratio) as (values {", ".join(f"('{a}', {lv}, {x})" for a, lv, x in PLAN)})
+    select symbol, ts, action, cast(level as integer) as level, cast(ratio as double) as ratio, {q("case when action = 'S' then top else mean end + level * std", "price")} from gm, p where std >= median""",
+)
 def w28(spark, sf):
-    df = I.volatility_gate(candles(spark, sf), 10)
-    return df.select("symbol", "ts", r("mean").alias("mean"), r("std").alias("std"), "open_gate", r("buy_level").alias("buy_level"), r("sell_level").alias("sell_level"))
+    """The plan of each bar whose gate is open; sells stand over the highest of the last ten closes."""
+    out = I.volatility_plan(candles(spark, sf), 10, PLAN, I.rolling(F.max, F.col("close"), 10))
+    return out.select("symbol", "ts", "action", "level", "ratio", r("price").alias("price"))
 
 
 @query(

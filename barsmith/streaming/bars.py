@@ -34,11 +34,11 @@ def unique_events(events: DataFrame, keys: list[str], delay: str = "1 hour") ->
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def tick_exits(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Each tick against its symbol's latest levels: cutoff, then range exit, then profit; the first that holds wins."""
+def tick_exits(ticks: DataFrame) -> DataFrame:
+    """Ticks that leave by the levels they carry: cutoff, then range exit, then profit; the first that holds wins."""
     p = F.col("price")
     reason = F.when(p <= F.col("cutoff") * 1.0001, "CUTOFF").when(p < F.col("atr_exit") * 1.0001, "ATR_EXIT").when(p >= F.col("profit_leave") * 0.99, "PROFIT_LEAVE")
-    return ticks.join(levels, "symbol").withColumn("reason", reason).filter("reason is not null").select("symbol", "ts", "price", "reason")
+    return ticks.withColumn("reason", reason).filter("reason is not null").select("symbol", "ts", "price", "reason")
 
 
 def day_volume(ticks: DataFrame, slide: str = "6 hours", delay: str = "5 seconds") -> DataFrame:

@@ -6,6 +6,7 @@ when the watermark passes its end.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,6 +118,77 @@ class DayVolumes(_Intervals):
             yield _frame([(key[0], end * self.width, sum(found), sum(found) / (total / n) < LEAST, 0)], self.schema)
 
 
+LEVELS = ("cutoff", "atr_exit", "profit_leave")
+MET = "symbol string, us long, price double, " + ", ".join(f"{c} double" for c in LEVELS)
+
+
+class AsOf(StatefulProcessor):
+    """Ticks and levels of a symbol, each under its time; ticks wait in spans until the watermark has passed them, since by then
+    every level that they may meet is there. Of the levels that no waiting tick is before, only the last is kept."""
+
+    def __init__(self, width_ms: int):
+        self.width = width_ms
+
+    def close(self) -> None:
+        pass
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ticks = handle.getMapState("ticks", "at long", "us array<long>, price array<double>")
+        self.levels = handle.getMapState("levels", "us long", ", ".join(f"{c} double" for c in LEVELS))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed, late = timerValues.getCurrentWatermarkInMs(), []
+        for some in rows:
+            tick = some["price"].notna()
+            for us, *values in some.loc[~tick, ["us", *LEVELS]].itertuples(index=False):
+                self.levels.updateValue((int(us),), tuple(float(v) for v in values))
+            some = some[tick]
+            for at, t in some.groupby(some["us"] // (1000 * self.width)):
+                if (int(at) + 1) * self.width <= passed:
+                    late.append(t)
+                    continue
+                had = self.ticks.getValue((int(at),)) if self.ticks.containsKey((int(at),)) else None
+                us, price = t["us"].tolist(), t["price"].tolist()
+                self.ticks.updateValue((int(at),), (([*had[0]] if had else []) + us, ([*had[1]] if had else []) + price))
+                if not had:
+                    self.handle.registerTimer((int(at) + 1) * self.width)
+        for t in late:
+            yield self._met(key, t["us"].tolist(), t["price"].tolist())
+
+    def _met(self, key, us: list[int], price: list[float]) -> pd.DataFrame:
+        levels = sorted((int(k[0]), *v) for k, v in self.levels.iterator())
+        times, rows = [x[0] for x in levels], []
+        for u, p in sorted(zip(us, price, strict=True)):
+            i = bisect_right(times, u) - 1
+            rows.append((key[0], u, p, *(levels[i][1:] if i >= 0 else [float("nan")] * len(LEVELS))))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in MET.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        at = end // self.width - 1
+        us, price = self.ticks.getValue((at,))
+        yield self._met(key, list(us), list(price))
+        self.ticks.removeKey((at,))
+        old = sorted(int(k[0]) for k in self.levels.keys() if k[0] <= 1000 * end)
+        for u in old[:-1]:
+            self.levels.removeKey((u,))
+
+
+def ticks_with_levels(ticks: DataFrame, levels: DataFrame, minutes: int = 360, delay: str = "5 seconds") -> DataFrame:
+    """Each tick with the last levels of its symbol at or before it, from two streams; nulls where there are none.
+
+    A tick is given when the watermark, the lesser of both streams', passes the end of its span of ``minutes``. One that comes
+    later than that meets what levels are left: the last before the newest closed span, if not after it.
+    """
+    blank = [F.lit(None).cast("double").alias(c) for c in LEVELS]
+    a = ticks.withWatermark("ts", delay).select("symbol", F.unix_micros("ts").alias("us"), "price", *blank)
+    b = levels.withWatermark("ts", delay).select("symbol", F.unix_micros("ts").alias("us"), F.lit(None).cast("double").alias("price"), *LEVELS)
+    out = a.unionByName(b).groupBy("symbol").transformWithStateInPandas(AsOf(minutes * 60_000), MET, "Append", "EventTime")
+    clean = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in LEVELS]
+    return out.select("symbol", F.timestamp_micros("us").alias("ts"), "price", *clean)
+
+
 def _keyed(ticks: DataFrame, delay: str):
     """Ticks by symbol under a watermark. Their time goes on as a number: Spark drops late rows unseen where it sees an event time."""
     return ticks.withWatermark("ts", delay).select("symbol", F.unix_micros("ts").alias("us"), "price", "qty").groupBy("symbol")

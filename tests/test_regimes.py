@@ -114,3 +114,15 @@ def test_labels_are_right_and_never_look_ahead(spark):
 def test_without_enough_bars_there_is_no_label(spark):
     assert {r.up for r in R.causal_regimes(bars(spark, 12), ["f", "slope"], rounds=1).collect()} == {None}
     assert R.causal_regimes(bars(spark, 12).limit(0), ["f", "slope"], rounds=1).count() == 0
+
+
+def test_account_buys_in_the_upper_regime_only(spark):
+    from barsmith.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    up = {(r.symbol, r.ts): r.up for r in QUERIES["g3_causal_regimes"](spark, sf).collect()}
+    rows = sorted(QUERIES["g9_regime_account"](spark, sf).collect(), key=lambda r: (r.symbol, r.ts))
+    assert len(rows) == len(up)
+    for a, b in zip(rows, rows[1:], strict=False):
+        if b.symbol == a.symbol and b.reason == "BUY":
+            assert up[(a.symbol, a.ts)]

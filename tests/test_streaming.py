@@ -82,3 +82,26 @@ def test_an_old_batch_again_does_not_undo_a_correction(spark):
     T.upsert(old.withColumn("close", F.lit(2.0)), path, 1, ("symbol", "ts"), "symbol")
     T.upsert(old, path, 0, ("symbol", "ts"), "symbol")
     assert [x.close for x in T.read_store(spark, path, old.schema, "symbol").collect()] == [2.0]
+
+
+def test_ticks_meet_the_last_levels_before_them(spark):
+    """Levels come in files of their own, some after the ticks that they are for; ticks wait for the lesser watermark."""
+    r = random.Random(3)
+    ticks = [tick(i / 5, r.randint(1, 9), 1, r.choice("ab")) for i in range(200)]
+    levels = [(r.choice("ab"), START + (i + 0.5) * HOUR, float(i), -float(i), None if i % 4 else 1.5) for i in range(0, 40, 3)]
+    path = T.scratch(spark, "test-levels")
+    schema = "symbol string, ts timestamp, cutoff double, atr_exit double, profit_leave double"
+    for some in (levels[:2], levels[2:9], levels[9:]):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(path)
+    files = [ticks[k * 50 : (k + 1) * 50] for k in range(4)]
+    for f in files:
+        r.shuffle(f)
+    out = B.drain(N.ticks_with_levels(stream(spark, files), B.replay(spark, path, schema, 1)), "test-met", typed=True)
+    end = min(ticks[-1][1], levels[-1][1]) - dt.timedelta(seconds=5)
+    want = []
+    for symbol, ts, price, _ in ticks:
+        if floor(ts) + 6 * HOUR <= end:
+            before = [x for x in levels if x[0] == symbol and x[1] <= ts]
+            want.append((symbol, ts, price, *(before[-1][2:] if before else (None,) * 3)))
+    key = lambda x: (x[0], x[1])
+    assert sorted((tuple(x) for x in out.select("symbol", "ts", "price", "cutoff", "atr_exit", "profit_leave").collect()), key=key) == sorted(want, key=key)
