@@ -8,14 +8,18 @@ import re
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-#: Entries kept in a worker's caches before they are emptied (about 150 MB in all); results do not depend on them.
-CACHE = 150_000
+#: Entries kept in a worker's caches before they are emptied (about 60 MB in all); results do not depend on them.
+CACHE = 80_000
+#: Characters that a worker encodes before it hands rows on.
+SLICE = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -202,6 +206,17 @@ def _broadcast(spark: SparkSession, ranks_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def slices(texts: pa.Array, most: int = SLICE) -> list[tuple[int, int]]:
+    """Ranges of rows whose texts have about ``most`` bytes together, a longer text by itself; one empty range for no rows."""
+    ends, at, out = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0, []
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        out.append((at, to))
+        at = to
+    return out or [(0, 0)]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id, ids array, n_tokens, ids_sha256, decoded_sha256), a row per input row; a null text is empty and has no ids.
 
@@ -216,19 +231,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def work(batches):
         codec = _codec(raw.value, pattern)
         for batch in batches:
-            ids_out, n, sha, dec = [], [], [], []
-            for text in batch.column(1):
-                ids, joined = codec.encode(text.as_py() or "")
-                n.append(len(ids))
-                sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                dec.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            for a, b in slices(batch.column(1)):
+                ids_out, n, sha, dec = [], [], [], []
+                for text in batch.column(1).slice(a, b - a):
+                    ids, joined = codec.encode(text.as_py() or "")
+                    n.append(len(ids))
+                    sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                    dec.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    if keep_ids:
+                        ids_out.append(np.array(ids, np.int32))
+                cols = [batch.column(0).slice(a, b - a)]
                 if keep_ids:
-                    ids_out.append(ids)
-            cols = [batch.column(0)]
-            if keep_ids:
-                cols.append(pa.array(ids_out, pa.list_(pa.int32())))
-            cols += [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(dec, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in fields])
+                    cols.append(pa.array(ids_out, pa.list_(pa.int32())))
+                cols += [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(dec, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in fields])
 
     return docs.select(id_col, text_col).mapInArrow(work, ", ".join(fields))
 
