@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -43,9 +44,18 @@ def test_toxicity_drops_only(stages):
 
 
 def test_near_duplicates(stages):
+    """Groups are what is reachable over near fingerprints and over sketches, each pair of texts looked at."""
     before = {r.doc_id: r.text for r in stages["toxicity"].collect()}
-    comp = plain_components({i: plain_fingerprint(t) for i, t in sorted(before.items())})
-    assert sorted(r.doc_id for r in stages["near_duplicates"].collect()) == sorted(i for i, c in comp.items() if i == c)
+    close = plain_components({i: plain_fingerprint(t) for i, t in sorted(before.items())})
+    sketches = {i: np.array(simhash.sketch(t.encode().lower().split(), {})[0]) for i, t in sorted(before.items())}
+    nibbles = {i: (s.view(np.uint64)[:, None] >> np.arange(0, 64, 4, dtype=np.uint64) & np.uint64(15)).ravel() for i, s in sketches.items()}
+    group = dict(close)
+    for i in before:
+        for j in before:
+            if i < j and group[i] != group[j] and (nibbles[i] != nibbles[j]).sum() <= simhash.APART:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    assert sorted(r.doc_id for r in stages["near_duplicates"].collect()) == sorted(i for i, c in group.items() if i == c)
 
 
 def test_mixing(stages):
