@@ -24,28 +24,29 @@ def schema_of(df: DataFrame, *more: str) -> str:
     return ", ".join([*[f"`{c}` {t}" for c, t in df.dtypes], *more])
 
 
-def numbered(df: DataFrame, size: int = SIZE, days: int = DAYS, keys: tuple = ("symbol",)) -> DataFrame:
-    """``df`` with ``idx_``, a bar's place in its series from 0, and ``chunk_``, that by ``size``.
+def numbered(df: DataFrame, size: int = SIZE, days: int = DAYS, keys: tuple = ("symbol",), order: tuple = ("ts",)) -> DataFrame:
+    """``df`` with ``idx_``, a bar's place in its series from 0, and ``chunk_``, that by ``size``. The first column of
+    ``order`` is a time.
 
     Two levels: bars are counted by spans of ``days``, these counts, a row a span, are summed up in order, and bars are
     numbered inside their span. No task holds a series.
     """
-    df = df.withColumn("span_", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (86_400 * days)))
+    df = df.withColumn("span_", F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / (86_400 * days)))
     counts = df.groupBy(*keys, "span_").agg(F.count("*").alias("n_"))
     before = F.sum("n_").over(Window.partitionBy(*keys).orderBy("span_").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*keys, "span_", F.coalesce(before, F.lit(0)).alias("before_"))
-    place = F.col("before_") + F.row_number().over(Window.partitionBy(*keys, "span_").orderBy("ts")) - 1
+    place = F.col("before_") + F.row_number().over(Window.partitionBy(*keys, "span_").orderBy(*order)) - 1
     out = df.join(starts, [*keys, "span_"]).withColumn("idx_", place)
     return out.drop("span_", "before_").withColumn("chunk_", F.expr(f"idx_ div {size}"))
 
 
-def with_halo(df: DataFrame, halo: int, fill: Callable[[pd.DataFrame], pd.DataFrame], more: str, size: int = SIZE, keys: tuple = ("symbol",)) -> DataFrame:
+def with_halo(df: DataFrame, halo: int, fill: Callable[[pd.DataFrame], pd.DataFrame], more: str, size: int = SIZE, keys: tuple = ("symbol",), order: tuple = ("ts",)) -> DataFrame:
     """``fill`` of each chunk of ``df`` and the ``halo`` bars before it, in order; only the chunk's own rows are kept.
 
     For columns ``more`` that depend on a bar and the ``halo`` bars before it. The halo must not be longer than a chunk.
     """
     size = max(size, halo)
-    rows = numbered(df, size, keys=keys)
+    rows = numbered(df, size, keys=keys, order=order)
     also = F.when(F.col("idx_") % size >= size - halo, F.array(F.col("chunk_"), F.col("chunk_") + 1)).otherwise(F.array("chunk_"))
     rows = rows.withColumn("task_", F.explode(also))
     cols = df.columns
@@ -111,7 +112,7 @@ def exponential_means(df: DataFrame, specs: dict[str, tuple[str, float, bool]],
     A null leaves the mean as it is, but ages it by a step; before the first value the mean is null.
     """
     names = list(specs)
-    rows = numbered(df, size, keys=keys)
+    rows = numbered(df, size, keys=keys, order=order)
     extra = ", ".join(f"y{k} double, a{k} double, g{k} long" for k in range(len(specs)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,6 +135,57 @@ def bootstrap(trades: DataFrame, sims: int, steps: int, fund: float = 10_000.0,
     return path.select("symbol", "sim", F.when(F.col("least") <= 0, 0.0).otherwise(fund * F.exp("log_growth")).alias("capital"))
 
 
+def bootstrap_counts(trades: DataFrame, sims: int = 1000, steps: int = 1260, fund: float = 10_000.0, bet: float = 1.0, fan: int = 1024) -> DataFrame:
+    """(symbol, sim, log_growth, capital): ``sims`` paths of ``steps`` draws with replacement from ``trades(symbol, profit)``.
+
+    A path's end depends only on how often it draws each distinct profit, so counts are drawn instead of rows: a symbol's
+    distinct profits are the leaves of a tree of ``fan`` children a node, and each node deals its draws to its children by
+    multinomial (conditional binomial) draws seeded by symbol, level and node. No task holds more than a node's children
+    (of the root: a child for every ``fan`` squared profits), and results do not depend on partitioning. Trades without
+    symbol or profit are left out; a path that draws a loss of all it bets ends at 0 with a null log_growth.
+    """
+    known = trades.filter(F.col("symbol").isNotNull() & F.col("profit").isNotNull() & ~F.isnan("profit"))
+    values = known.groupBy("symbol", "profit").agg(F.count("*").alias("weight")).withColumn("part", F.pmod(F.xxhash64("profit"), F.lit(1024)))
+    before = F.sum("m").over(Window.partitionBy("symbol").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = values.groupBy("symbol", "part").agg(F.count("*").alias("m")).select("symbol", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("symbol", "part").orderBy("profit")) - 1
+    leaves = values.join(starts, ["symbol", "part"]).withColumn("place", place).select("symbol", F.expr(f"place div {fan * fan}").alias("top"), F.expr(f"place div {fan}").alias("node"), "profit", "weight")
+    nodes = leaves.groupBy("symbol", "top", "node").agg(F.sum("weight").alias("weight"))
+    tops = nodes.groupBy("symbol", "top").agg(F.sum("weight").alias("weight"))
+
+    def deal(level: str, children: pd.DataFrame, child: str, draws) -> tuple[pd.DataFrame, np.ndarray]:
+        children = children.sort_values(child, ignore_index=True)
+        weight = children["weight"].to_numpy(float)
+        return children, _seeded(children["symbol"].iloc[0], level).multinomial(draws, weight / weight.sum(), None if np.ndim(draws) else sims)
+
+    def to_tops(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, drawn = deal("root", pdf, "top", steps)
+        return pdf[["symbol", "top"]].assign(draws=list(drawn.T))
+
+    def to_nodes(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        pdf, drawn = deal(f"top {pdf['top'].iloc[0]}", pdf, "node", np.asarray(above["draws"].iloc[0]))
+        return pdf[["symbol", "node"]].assign(draws=list(drawn.T))
+
+    def to_profits(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        pdf, drawn = deal(f"node {pdf['node'].iloc[0]}", pdf, "profit", np.asarray(above["draws"].iloc[0]))
+        growth = 1 + bet * pdf["profit"].to_numpy(float)
+        logs = drawn @ np.log(np.where(growth > 0, growth, 1.0))
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "sim": np.arange(sims), "part_log": logs, "ruined": drawn @ (growth <= 0) > 0})
+
+    drawn = tops.groupBy("symbol").applyInPandas(to_tops, "symbol string, top long, draws array<long>")
+    drawn = nodes.groupBy("symbol", "top").cogroup(drawn.groupBy("symbol", "top")).applyInPandas(to_nodes, "symbol string, node long, draws array<long>")
+    paths = leaves.groupBy("symbol", "node").cogroup(drawn.groupBy("symbol", "node")).applyInPandas(to_profits, "symbol string, sim long, part_log double, ruined boolean")
+    out = paths.groupBy("symbol", "sim").agg(F.sum("part_log").alias("log_growth"), F.max("ruined").alias("ruined"))
+    log = F.when(~F.col("ruined"), F.col("log_growth"))
+    return out.select("symbol", "sim", log.alias("log_growth"), F.coalesce(fund * F.exp(log), F.lit(0.0)).alias("capital"))
+
+
+def _seeded(symbol: str, level: str) -> np.random.Generator:
+    """Random numbers that depend on the symbol and the place in the tree only."""
+    key = hashlib.blake2b(f"{level} {symbol}".encode(), digest_size=16).digest()
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(key, "big")))
+
+
 def bootstrap_summary(paths: DataFrame, fund: float = 10_000.0) -> DataFrame:
     c = F.col("capital")
     return paths.groupBy("symbol").agg(F.avg(c / fund - 1).alias("mean_return"), F.avg((c > fund).cast("int")).alias("win_rate"), F.avg(c).alias("mean"), F.max(c).alias("best"), F.min(c).alias("worst"))

@@ -10,6 +10,7 @@ from ..operators import accounts as A
 from ..operators import distributions as D
 from ..operators import indicators as I
 from ..operators import labels as L
+from ..operators import quantiles as Q
 from ..operators import regimes as R
 from ..operators import reviews as V
 from ..operators import signals as S
@@ -107,6 +108,16 @@ def a10(spark, sf):
     return rounded(D.credible_interval(labels(spark, sf).filter("profit is not null")), "symbol", lower="lower", upper="upper", loss_margin="loss_margin")
 
 
+LAST = "over (partition by symbol order by matured, ts rows between 899 preceding and current row)"
+
+
+@query("a10_rolling_interval", f"{KNOWN} select symbol, ts, matured, {q(f'quantile_disc(profit, 0.05) {LAST}', 'lower')}, {q(f'quantile_disc(profit, 0.95) {LAST}', 'upper')}, {q(f'abs(quantile_disc(profit, 0.05) {LAST})', 'loss_margin')} from known")
+def a10_rolling(spark, sf):
+    """The interval of the last 900 profits that had matured when each one did."""
+    known = labels(spark, sf).select("symbol", "ts", "matured", "profit")
+    return rounded(Q.rolling_credible_interval(known, 900), "symbol", "ts", "matured", lower="lower", upper="upper", loss_margin="loss_margin")
+
+
 @query("a11_profit_margin", f"{KNOWN}, c as (select symbol, round(profit, 1) as value, count(*) as n from known where profit > 0 group by 1, 2) select symbol, value as profit_margin, n as times from c qualify row_number() over (partition by symbol order by n desc, value) = 1")
 def a11(spark, sf):
     return D.profit_margin(labels(spark, sf), digits=1)
@@ -282,6 +293,21 @@ def a26(spark, sf):
     return df.select("symbol", r(F.log(F.col("mean_return") + 1), 5).alias("log_mean"), "win_rate", r(F.log(F.col("best") / 10000), 5).alias("best"), r(F.log(F.col("worst") / 10000), 5).alias("worst"))
 
 
+def _paths(spark, sf):
+    return V.bootstrap_counts(labels(spark, sf).filter("buy_signal").select("symbol", "profit"), bet=0.5)
+
+
+@query("g11_bootstrap_paths")
+def g11_paths(spark, sf):
+    """1000 paths of 1260 trades a symbol, drawn as counts of its distinct profits."""
+    return _paths(spark, sf)
+
+
+@query("a26_path_summary")
+def a26_paths(spark, sf):
+    return V.bootstrap_summary(_paths(spark, sf))
+
+
 WINDOW_S = 40 * 21600
 TRAIL = f"""{LABELS}, tp as (select s.symbol, s.ts as today, b.ts, (case when b.matured <= s.ts then b.sell else s.close end) / b.buy - 1 as profit, coalesce(b.matured <= s.ts, false) as done
     from labels s join labels b on s.symbol = b.symbol and b.ts <= s.ts and b.ts >= s.ts - interval {WINDOW_S} seconds where s.buy_signal),
