@@ -40,15 +40,19 @@ def numbered(df: DataFrame, size: int = SIZE, days: int = DAYS, keys: tuple = ("
     return out.drop("span_", "before_").withColumn("chunk_", F.expr(f"idx_ div {size}"))
 
 
+def haloed(rows: DataFrame, halo: int, size: int) -> DataFrame:
+    """Numbered rows with ``task_``: each in its chunk, and its last ``halo`` bars in the next one too."""
+    also = F.when(F.col("idx_") % size >= size - halo, F.array(F.col("chunk_"), F.col("chunk_") + 1)).otherwise(F.array("chunk_"))
+    return rows.withColumn("task_", F.explode(also))
+
+
 def with_halo(df: DataFrame, halo: int, fill: Callable[[pd.DataFrame], pd.DataFrame], more: str, size: int = SIZE, keys: tuple = ("symbol",), order: tuple = ("ts",)) -> DataFrame:
     """``fill`` of each chunk of ``df`` and the ``halo`` bars before it, in order; only the chunk's own rows are kept.
 
     For columns ``more`` that depend on a bar and the ``halo`` bars before it. The halo must not be longer than a chunk.
     """
     size = max(size, halo)
-    rows = numbered(df, size, keys=keys, order=order)
-    also = F.when(F.col("idx_") % size >= size - halo, F.array(F.col("chunk_"), F.col("chunk_") + 1)).otherwise(F.array("chunk_"))
-    rows = rows.withColumn("task_", F.explode(also))
+    rows = haloed(numbered(df, size, keys=keys, order=order), halo, size)
     cols = df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

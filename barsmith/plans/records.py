@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import accounts as A
 from ..operators import indicators as I
 from ..operators import labels as L
+from ..operators import search as H
 from ..sources import tables as T
 from .registry import PLAN, BY, CANDLES, FILLS, LABELS, TURTLE, q, query, r
 from .windows import labels, turtle
@@ -289,6 +290,45 @@ def x4(spark, sf):
     return scored.groupBy("symbol").agg(best.alias("b")).select("symbol", "b.param_id", (F.col("b.score") + 0.0).alias("score"))
 
 
+SETS = H.spread()
+
+
+def _search_sql() -> str:
+    """Every set over every bar, with windows of the set's own lengths; at: the bar whose exit a purchase meets."""
+    sets = ", ".join(f"({p.param_id}, {p.atr}, {p.upper}, {p.lower}, {p.margin}::double)" for p in SETS)
+    over = lambda n, lag: f"over (partition by symbol, param_id order by ts rows between {n} preceding and {lag})"
+    return f"""{CANDLES}, sets(param_id, n_atr, n_up, n_low, margin) as (values {sets}),
+    bars as (select *, row_number() over ({BY}) - 1 as idx, count(*) over (partition by symbol) as n_bars, greatest(high - low, abs(before - high), abs(before - low)) as tr from (select *, lag(close) over ({BY}) as before from candles)),
+    ranges as (select *, case when count(tr) {over("n_atr - 1", "current row")} = n_atr then avg(tr) {over("n_atr - 1", "current row")} end as atr,
+      case when count(high) {over("n_up", "1 preceding")} = n_up then max(high) {over("n_up", "1 preceding")} end as top,
+      case when count(low) {over("n_low", "1 preceding")} = n_low then min(low) {over("n_low", "1 preceding")} end as bottom from bars, sets),
+    stops as (select *, greatest(before - prior * margin, bottom) as stop from (select *, lag(atr) over (partition by symbol, param_id order by ts) as prior from ranges) where prior is not null and bottom is not null),
+    bought as (select *, coalesce(high > top, false) as signal, min(case when close < stop then idx end) over (partition by symbol, param_id order by ts rows between current row and unbounded following) as at from stops),
+    tried as (select b.symbol, b.param_id, b.at, b.n_bars, s.stop / b.close - 1 as profit from bought b left join stops s on s.symbol = b.symbol and s.param_id = b.param_id and s.idx = b.at where b.signal),
+    pairs as (select symbol, n_bars, param_id from (select distinct symbol, n_bars from bars), sets)"""
+
+
+@query("j11_search_ranges", f"{_search_sql()} select p.symbol, p.param_id, count(t.profit) as trades, {q('avg(t.profit)', 'score')} from pairs p left join tried t on t.symbol = p.symbol and t.param_id = p.param_id group by 1, 2")
+def j11_search(spark, sf):
+    """105 sets with windows of 2 to 900 bars, each scored on whole series."""
+    return H.sweep(T.candles(spark, sf), SETS).select("symbol", "param_id", "trades", r("score").alias("score"))
+
+
+def _halving_sql() -> str:
+    sql, kept = _search_sql(), "pairs"
+    for k, (share, left) in enumerate(H.rung_sizes(len(SETS))):
+        sql += f""", score{k} as (select p.symbol, p.n_bars, p.param_id, count(t.profit) as trades, round(avg(t.profit), 6) as score from {kept} p left join tried t on t.symbol = p.symbol and t.param_id = p.param_id and t.at < ceil(round(p.n_bars * {share}, 6)) group by 1, 2, 3),
+        kept{k} as (select * from score{k} qualify row_number() over (partition by symbol order by score desc nulls last, param_id) <= {left})"""
+        kept = f"kept{k}"
+    return f"{sql} select symbol, param_id, trades, score + 0.0 as score from {kept}"
+
+
+@query("x4_search_halving", _halving_sql())
+def x4_search(spark, sf):
+    """Each symbol's best of the 105 sets by successive halving over growing shares of its bars."""
+    return H.halving(T.candles(spark, sf), SETS).select("symbol", "param_id", "trades", r("score").alias("score"))
+
+
 @query("u1_append_rows", "select o_orderkey as id, o_totalprice as price, null::varchar as flag from orders union all select l_orderkey, l_extendedprice, l_returnflag from lineitem")
 def u1(spark, sf):
     a = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
