@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-#: Entries kept in a worker's caches before they are emptied (about 60 MB in all); results do not depend on them.
-CACHE = 80_000
+#: Entries of a generation of a worker's caches (two of chunks; about 130 MB in all); results do not depend on them.
+CACHE = 120_000
 #: Characters that a worker encodes before it hands rows on.
 SLICE = 1_000_000
 
@@ -33,18 +33,22 @@ CROSSED = re.compile(r"\s |^ | $")
 
 
 class Chunks(dict):
-    """Chunk without its leading space -> (decimal text, ids) with it."""
+    """Chunk without its leading space -> (decimal text, ids) with it, those used of late and of the generation before."""
 
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.before = codec, {}
 
     def __missing__(self, chunk: str) -> tuple[str, tuple[int, ...]]:
-        if len(self) > CACHE:
+        found = self.before.get(chunk)
+        if found is None:
+            ids = self.codec.encode_chunk(" " + chunk)
+            found = (",".join(map(self.codec.names.__getitem__, ids)), ids)
+            if len(chunk) >= 64:
+                return found
+        if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
-        ids = self.codec.encode_chunk(" " + chunk)
-        found = (",".join(map(str, ids)), ids)
-        if len(chunk) < 64:
-            self[chunk] = found
+        self[chunk] = found
         return found
 
 
@@ -58,6 +62,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.vocab = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in self.vocab}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merges: dict[tuple[int, int], int] = {}
         self.trie = ahocorasick.Automaton()
@@ -144,10 +149,10 @@ class Codec:
         open_ = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
-        length, shorter, compatible = self.length, self.shorter, self._compatible
+        length, shorter, joins, compatible = self.length, self.shorter, self.joins, self._compatible
         while True:
             end = at + length[token]
-            if open_[end] and (not out or compatible(out[-1], token)):
+            if open_[end] and (not out or joins.get(out[-1] << 32 | token) or compatible(out[-1], token)):
                 out.append(token)
                 at = end
                 if at == n:
@@ -159,8 +164,11 @@ class Codec:
                 at -= length[token]
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+        found = self.pattern.findall(chunk)
+        if found == [chunk]:  # kept as a chunk by the caller
+            return self.encode_piece(chunk.encode("utf-8", "surrogatepass"))
         out: list[int] = []
-        for piece in self.pattern.findall(chunk):
+        for piece in found:
             ids = self.pieces.get(piece)
             if ids is None:
                 if len(self.pieces) > CACHE:
