@@ -12,8 +12,10 @@ MIN_STAKE = 10.01
 TINY, ODDS_EPS = 2.2250738585072014e-308, 1e-10
 
 
-def odds(p: Column) -> Column:
-    p = F.when(p == 1, 0.999999).otherwise(p)
+def odds(p: Column, sure: float | None = 0.999999) -> Column:
+    """p / (1 - p); a p of 1 counts as ``sure``, or as it is if that is None (then the guard against zero gives 1e10)."""
+    if sure is not None:
+        p = F.when(p == 1, sure).otherwise(p)
     return p / (1 - p + ODDS_EPS)
 
 

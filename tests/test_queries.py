@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from barsmith.plans import registry
+from barsmith.sources import tables as T
 
 from .conftest import SF
 
@@ -47,6 +48,17 @@ def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_odds_of_certain_events(spark):
+    """Probabilities of exactly 1, of which the given tables have none."""
+    path = T.scratch(spark, "certain")
+    spark.createDataFrame([(1, 200.0), (2, 199.99), (3, 200.01), (4, 0.0), (5, None), (6, -1.0)], "event_id long, value double").write.parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{path.removeprefix('file://')}/events.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["f1_odds"]).fetchall()
+    got = registry.QUERIES["f1_odds"](spark, path).collect()
+    assert rows_of(["event_id", "odds", "p"], [tuple(x) for x in got]) == rows_of(["event_id", "odds", "p"], want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
