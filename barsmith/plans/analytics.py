@@ -655,10 +655,11 @@ def t5(spark, sf):
 
 @query("t6_order_updates", f"{LEDGER} select symbol, cast(rn as integer) as rn, side, {q('held', 'held', 4)}, {q('avg_cost', 'avg_cost', 4)}, {q('profit', 'profit', 4)} from led")
 def t6(spark, sf):
+    """A range of the fills a trigger, however many files it has."""
     path = T.scratch(spark, "order-updates")
     net = A.net_fills(T.fills(spark, sf)).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("seq")))
-    B.write_in_order(net.select("symbol", "rn", "side", "position", "price"), path, "rn", 3)
-    out = B.drain(B.ledger_updates(B.replay(spark, path, "symbol long, rn int, side string, position double, price double", 1)), "ledger")
+    files = B.write_in_order(net.select("symbol", "rn", "side", "position", "price"), path, "rn", 3)
+    out = B.drain(B.ledger_updates(B.replay(spark, path, "symbol long, rn int, side string, position double, price double", files)), "ledger")
     return out.select("symbol", "rn", "side", r("held", 4).alias("held"), r("avg_cost", 4).alias("avg_cost"), r(F.when(~F.isnan("profit"), F.col("profit")), 4).alias("profit"))
 
 

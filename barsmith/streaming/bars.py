@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,23 +96,25 @@ def latest(updates: DataFrame) -> DataFrame:
     return kept.select("row.*")
 
 
-def write_in_order(df: DataFrame, path: str, order: str, parts: int, by: str | None = "symbol") -> None:
+def write_in_order(df: DataFrame, path: str, order: str, parts: int, by: str | None = "symbol") -> int:
     """Write a table as a stream's files in ``parts`` consecutive ranges of ``order``, a symbol's rows of a range in one file.
 
     A range is written when the one before it is there, and the file source takes older files first, so a symbol's rows
     arrive in order however few files a trigger takes. Without ``by`` a range is one file, so that symbols keep step too.
-    The table is made once, in the shared folder, and each range read from there.
+    The table is made once, in the shared folder, and each range read from there. Returns the most files of a range.
     """
     spark, made = df.sparkSession, scratch(df.sparkSession, "ordered")
     df.write.parquet(made)
     df = spark.read.schema(df.schema).parquet(made)
     value = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order).cast("long")
     cuts = df.select(value.alias("v")).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 1000).alias("c")).first()["c"] or []
-    edges = [None, *sorted(set(cuts)), None]
+    edges, files = [None, *sorted(set(cuts)), None], [0]
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         inside = (value > low if low is not None else F.lit(True)) & (value <= high if high is not None else F.lit(True))
         some = df.filter(inside)
         (some.repartition(by) if by else some.coalesce(1)).write.mode("append").parquet(path)
+        files.append(len(spark.read.schema(df.schema).parquet(path).inputFiles()))
+    return max(b - a for a, b in zip(files[:-1], files[1:], strict=True))
 
 
 def _account(cap: float, hard_cutoff: float, ratio: float, bet: float):
@@ -132,20 +135,27 @@ def account_updates(bars: DataFrame, cap: float = 100.0, hard_cutoff: float = 0.
     return bars.groupBy("symbol").applyInPandasWithState(_account(cap, hard_cutoff, ratio, bet), out, "account string", "append", GroupStateTimeout.NoTimeout)
 
 
-def _order_update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held, avg, cash = json.loads(state.get[0]) if state.exists else (0.0, 0.0, 0.0)
-    new, rows = pd.concat(list(batches)).sort_values("rn"), []
-    for rn, side, position, price in new[["rn", "side", "position", "price"]].itertuples(index=False):
-        held, avg, cash, profit = fill_step(held, avg, cash, side == "buy", position, price)
-        rows.append((key[0], rn, side, held, avg, profit, cash))
-    state.update((json.dumps((held, avg, cash)),))
-    yield pd.DataFrame(rows, columns=["symbol", "rn", "side", "held", "avg_cost", "profit", "cash"])
+def _order_updates(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: the accounts of a bucket's symbols, as the bytes of the symbols and of three numbers each."""
+    symbols, numbers = state.get if state.exists else (b"", b"")
+    accounts = dict(zip(np.frombuffer(symbols, np.int64).tolist(), np.frombuffer(numbers).reshape(-1, 3).tolist(), strict=True))
+    new, rows = pd.concat(list(batches)).sort_values("rn", kind="stable"), []
+    for symbol, side, position, price in zip(*[new[c].tolist() for c in ("symbol", "side", "position", "price")], strict=True):
+        *now, profit = fill_step(*accounts.get(symbol, (0.0, 0.0, 0.0)), side == "buy", position, price)
+        accounts[symbol] = now
+        rows.append((now[0], now[1], profit, now[2]))
+    state.update((np.array(list(accounts), np.int64).tobytes(), np.array(list(accounts.values()), float).tobytes()))
+    yield pd.DataFrame(rows, columns=["held", "avg_cost", "profit", "cash"]).assign(symbol=new["symbol"].to_numpy(), rn=new["rn"].to_numpy(), side=new["side"].to_numpy())[["symbol", "rn", "side", "held", "avg_cost", "profit", "cash"]]
 
 
-def ledger_updates(fills: DataFrame) -> DataFrame:
-    """Order updates mutate each symbol's account: the ledger's rows as its fills arrive, three numbers of state a symbol."""
+def ledger_updates(fills: DataFrame, buckets: int = 1024) -> DataFrame:
+    """Order updates mutate each symbol's account: the ledger's rows as its fills arrive, three numbers of state a symbol.
+
+    Symbols are dealt to ``buckets`` by a hash, a state and a call each, as a call costs far more than a symbol's few fills.
+    """
     out = "symbol long, rn int, side string, held double, avg_cost double, profit double, cash double"
-    return fills.groupBy("symbol").applyInPandasWithState(_order_update, out, "account string", "append", GroupStateTimeout.NoTimeout)
+    dealt = fills.withColumn("bucket", F.pmod(F.hash("symbol"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(_order_updates, out, "symbols binary, accounts binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, label: str, statements: bool = False, typed: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from barsmith.operators.accounts import fill_step
 from barsmith.sources import tables as T
 from barsmith.streaming import bars as B
 from barsmith.streaming import late as N
@@ -105,3 +106,19 @@ def test_ticks_meet_the_last_levels_before_them(spark):
             want.append((symbol, ts, price, *(before[-1][2:] if before else (None,) * 3)))
     key = lambda x: (x[0], x[1])
     assert sorted((tuple(x) for x in out.select("symbol", "ts", "price", "cutoff", "atr_exit", "profit_leave").collect()), key=key) == sorted(want, key=key)
+
+
+def test_ledger_of_many_symbols_in_few_states(spark):
+    """Accounts share a bucket's state and calls; rows are those of a fold of each symbol, over triggers of a whole range."""
+    r = random.Random(5)
+    fills = [(s, n + 1, r.choice(["buy", "sell"]), float(r.randint(1, 9)), r.randint(1, 99) / 7) for s in range(60) for n in range(r.randint(1, 9))]
+    schema, path = "symbol long, rn int, side string, position double, price double", T.scratch(spark, "test-fills")
+    files = B.write_in_order(spark.createDataFrame(fills, schema), path, "rn", 3)
+    out = B.drain(B.ledger_updates(B.replay(spark, path, schema, files), buckets=4), "test-ledger")
+    want, now = [], {}
+    for symbol, rn, side, position, price in fills:
+        *now[symbol], profit = fill_step(*now.get(symbol, (0.0, 0.0, 0.0)), side == "buy", position, price)
+        want.append((symbol, rn, side, now[symbol][0], now[symbol][1], repr(profit), now[symbol][2]))
+    assert sorted((x.symbol, x.rn, x.side, x.held, x.avg_cost, repr(x.profit if x.profit is not None else float("nan")), x.cash) for x in out.collect()) == want
+    states = spark.read.format("statestore").load(out.inputFiles()[0].rsplit("/", 1)[0] + "-state")
+    assert states.count() <= 4
