@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-#: Entries of a generation of a worker's caches (two of chunks; about 130 MB in all); results do not depend on them.
-CACHE = 120_000
+#: Entries of a worker's caches, and of each of the two generations of chunks (about 130 MB in all); results do not depend on them.
+CACHE, GENERATION = 120_000, 200_000
 #: Characters that a worker encodes before it hands rows on.
 SLICE = 1_000_000
 
@@ -32,25 +32,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
 CROSSED = re.compile(r"\s |^ | $")
 
 
+#: A pattern that begins so matches a space and ASCII letters as one piece.
+WORDS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
+
+
 class Chunks(dict):
-    """Chunk without its leading space -> (decimal text, ids) with it, those used of late and of the generation before."""
+    """Chunk without its leading space -> ids with it, those used of late and of the generation before."""
 
     def __init__(self, codec: Codec):
         self.codec, self.before = codec, {}
 
-    def __missing__(self, chunk: str) -> tuple[str, tuple[int, ...]]:
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
         found = self.before.get(chunk)
         if found is None:
-            ids = self.codec.encode_chunk(" " + chunk)
-            found = (",".join(map(self.codec.names.__getitem__, ids)), ids)
+            found = self.codec.encode_chunk(" " + chunk)
             if len(chunk) >= 64:
                 return found
-        if len(self) >= CACHE:
+        if len(self) >= GENERATION:
             self.before = dict(self)
             self.clear()
         self[chunk] = found
         return found
 
+    def known(self, chunk: str) -> tuple[int, ...] | None:
+        return self.get(chunk) or self.before.get(chunk)
+
 
 class Codec:
     """Encodes and decodes with one vocabulary whose ranks are its ids.
@@ -60,7 +66,7 @@ class Codec:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern, self.words_first = ranks, regex.compile(pattern), pattern.startswith(WORDS_FIRST)
         self.vocab = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.vocab}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -164,13 +170,15 @@ class Codec:
                 at -= length[token]
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+        if self.words_first and chunk[0] == " " and chunk.isascii() and chunk[1:].isalpha():
+            return self.pieces.get(chunk) or self.encode_piece(chunk.encode())
         found = self.pattern.findall(chunk)
         if found == [chunk]:  # kept as a chunk by the caller
-            return self.encode_piece(chunk.encode("utf-8", "surrogatepass"))
+            return self.pieces.get(chunk) or self.encode_piece(chunk.encode("utf-8", "surrogatepass"))
         out: list[int] = []
         for piece in found:
-            ids = self.pieces.get(piece)
-            if ids is None:
+            ids = self.pieces.get(piece) or (piece[0] == " " and self.chunks.known(piece[1:]))
+            if not ids:
                 if len(self.pieces) > CACHE:
                     self.pieces.clear()
                 ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
@@ -189,11 +197,10 @@ class Codec:
             return [], ""
         if CROSSED.search(text):
             ids = list(self.encode_chunk(text))
-            return ids, ",".join(map(str, ids))
-        first, *rest = text.split(" ")
-        ids = self.encode_chunk(first)
-        found = [(",".join(map(str, ids)), ids), *map(self.chunks.__getitem__, rest)]
-        return list(chain.from_iterable([h[1] for h in found])), ",".join([h[0] for h in found])
+        else:
+            first, *rest = text.split(" ")
+            ids = [*self.encode_chunk(first), *chain.from_iterable(map(self.chunks.__getitem__, rest))]
+        return ids, ",".join(map(self.names.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))

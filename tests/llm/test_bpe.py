@@ -54,3 +54,21 @@ def test_round_trip_and_edges(spark):
     back = sorted((r.doc_id or 0, bytes(r.bytes)) for r in bpe.decode(out, PATH, P.PATTERN).collect())
     assert back == sorted((i or 0, (t or "").encode()) for i, t, *_ in TEXTS)
     assert bpe.encode(spark.createDataFrame([], EDGE_SCHEMA), PATH, P.PATTERN).count() == 0
+
+
+def test_words_are_encoded_once_with_and_without_marks(pair, monkeypatch):
+    codec = bpe.Codec(pair[0].ranks, P.PATTERN)
+    seen, plain = [], codec.encode_piece
+    monkeypatch.setattr(codec, "encode_piece", lambda piece: (seen.append(piece), plain(piece))[1])
+    for x in ("x tiontioxq tiontioxq, (tiontioxq) tiontioxq.", "y qzqzö, qzqzö qzqzö."):
+        assert codec.encode(x)[0] == pair[1].encode_ordinary(x)
+    assert seen.count(b" tiontioxq") == seen.count(" qzqzö".encode()) == 1
+
+
+def test_small_caches_change_nothing(pair, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "GENERATION", 2)
+    codec, r = bpe.Codec(pair[0].ranks, P.PATTERN), random.Random(2)
+    for _ in range(300):
+        x = " ".join(r.choice(["ab", "abé", "qx,", "don't", "K's", "x1", "ſ", "", "\tq", "a!b"]) for _ in range(r.randint(0, 20)))
+        assert codec.encode(x) == (ids := pair[1].encode_ordinary(x), ",".join(map(str, ids)))
