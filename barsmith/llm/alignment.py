@@ -19,8 +19,8 @@ from .common import materialise, read
 RANGE = 32_768
 #: Ranges that a step of the tree reduction composes.
 FAN = 8
-#: Words kept in a worker's table before it is emptied (about 100 MB).
-HELD = 200_000
+#: Words in each of the two generations of a worker's table (about 120 MB in all).
+HELD = 120_000
 #: Pairs whose counts are sent to every task (4 MB); the others meet their counts in a join.
 FREQUENT = 262_144
 #: Characters that a worker encodes before it hands rows on.
@@ -101,7 +101,7 @@ def fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarra
 
 
 class Words(dict):
-    """Word without the space before it -> ids of both vocabularies as bytes, None where they do not spell it."""
+    """Word without the space before it -> ids of both vocabularies as bytes, None where they do not spell it; those used of late."""
 
     def __init__(self, ranks: bytes, model: bytes, pattern: str):
         import sentencepiece
@@ -120,23 +120,57 @@ class Words(dict):
         for i, t in self.first_bytes.items():
             self.sizes[0][i] = len(t)
 
+        self.before: dict = {}
+
     def __missing__(self, word: str):
-        if len(self) > HELD:
-            self.clear()
         a = self.first.encode_ordinary(" " + word)
         b = self.second.encode(word) if word else [self.blank]
-        raw = (" " + word).encode()
-        spelt = b"".join(map(self.first_bytes.__getitem__, a)) == raw == b"".join(map(self.second_bytes.__getitem__, b))
-        found = (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if spelt else None
-        if len(word) < 64:
-            self[word] = found
+        return (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if self.spelt(word, a, b) else None
+
+    def spelt(self, text: str, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.first_bytes.__getitem__, a)) == (" " + text).encode() == b"".join(map(self.second_bytes.__getitem__, b))
+
+    def encoded(self, words: list[str]) -> list:
+        """Ids of the words of one text, in their order, each without white space at its end unless it is the last.
+
+        Words that no table holds are encoded as one text, which is cut again where they end: no token crosses from one into
+        the space before the next. Each by itself if the tokens do not spell that text.
+        """
+        text = " ".join(words)
+        a, b = self.first.encode_ordinary(" " + text), self.second.encode(text)
+        if "" in words or not self.spelt(text, a, b):
+            return [self.__missing__(w) for w in words]
+        ends = np.cumsum([len(w) for w in words] if text.isascii() else [len(w.encode()) for w in words]) + np.arange(1, len(words) + 1)
+        parts = []
+        for ids, sizes in zip((a, b), self.sizes, strict=True):
+            ids = np.array(ids, np.int32)
+            to = (4 * np.searchsorted(np.cumsum(sizes[ids]), ends, "right")).tolist()
+            raw = ids.tobytes()
+            parts.append([raw[i:j] for i, j in zip([0, *to], to, strict=False)])
+        return list(zip(*parts, strict=True))
+
+    def all(self, words: list[str]) -> list:
+        """Ids of each word of one text."""
+        if len(self) >= HELD:
+            self.before = dict(self)
+            self.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        for w in new:
+            if w in self.before:
+                self[w] = self.before[w]
+        if new := [w for w in new if w not in self]:
+            self.update(zip(new, self.encoded(new), strict=True))
+        found = list(map(self.__getitem__, words))
+        for w in new:
+            if len(w) >= 64:
+                del self[w]
         return found
 
     def fragments(self, text: str, start: int = 0, size: int | None = None) -> list[tuple[int, Fragment]]:
         """(range, fragment) of a text that stands after a space and begins at byte ``start``: one for each ``size`` bytes in which
         tokens end, or one for all. A single fragment that is not ok where tokens do not spell the text."""
         words = CUT.split(text) if CROSSED.search(text) or text.startswith(" ") else text.split(" ")
-        found = list(map(self.__getitem__, words))
+        found = self.all(words)
         if None in found:
             return [(start // size if size else 0, EMPTY._replace(ok=False))]
         a, b = (np.frombuffer(b"".join([x[k] for x in found]), np.int32) for k in (0, 1))

@@ -135,3 +135,17 @@ def test_edges_and_long_texts(spark, known):
     assert A.align(spark.createDataFrame([], EDGE_SCHEMA), RANKS, MODEL, P.PATTERN).count() == 0
     solid = [(1, "長い文章" * 3000), (2, LONG.replace(" ", "")), (3, "a" * 5000), (4, " " * 3000)]
     assert got(A.align(docs(spark, [(i, t, "a") for i, t in solid]), RANKS, MODEL, P.PATTERN, size=1000)) == plain(known, solid)
+
+
+def test_words_of_a_text_together_and_apart(monkeypatch):
+    """Words encoded as one text have the ids that each has by itself, also where one of them is not spelt and the table holds two."""
+    monkeypatch.setattr(A, "HELD", 2)
+    raw = [open(P.path(n), "rb").read() for n in ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model")]
+    words, r, calls = A.Words(*raw, P.PATTERN), random.Random(4), []
+    alone = words.__missing__
+    for k in range(200):
+        text = " ".join(r.choice(["ab", "qzqz,", "don't", "é中文", "x\ty", "a|b", "12", "<0x41>", "tion" * 20, *(["ﬁ", "▁"] if k % 2 else [])]) for _ in range(r.randint(1, 12)))
+        some = text.split(" ") if k % 5 else (text + "\n").split(" ")
+        assert words.all(some) == [alone(w) for w in some]
+    monkeypatch.setattr(A.Words, "__missing__", lambda self, w: calls.append(w))
+    assert None not in words.all(["some", "plain", "words", "here"]) and not calls
