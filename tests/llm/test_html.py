@@ -135,6 +135,54 @@ def test_copies_without_markup_keep_their_text(spark):
     assert got == {i: " ".join(t) for i, t in enumerate([*texts, ["one", "short", "page"], ["another", "short", "page"]])}
 
 
+def shared_words(rows, run=X.RUN, least=X.MIN_PAGES):
+    """For each page which words of its blocks lie in runs that pages of any markup share, by brute force."""
+    streams = {i: [w for t, k in zip(*X.blocks(h)[:2], strict=True) if k for w in t.split(" ")] for i, h in rows}
+    where = {}
+    for s in streams.values():
+        for j in range(len(s) - run + 1):
+            where.setdefault(tuple(s[j : j + run]), set()).add(tuple(s))
+    return {i: [any(len(where[tuple(s[j : j + run])]) >= least for j in range(max(0, k - run + 1), min(k, len(s) - run) + 1)) for k in range(len(s))] for i, s in streams.items()}
+
+
+def test_shared_runs_of_every_page_by_brute_force(spark):
+    r = random.Random(8)
+    lines = [" ".join(f"s{n}x{k}" for k in range(14)) for n in range(20)]
+    rows = []
+    for i in range(120):
+        own = [" ".join(f"w{r.randrange(5000)}" for _ in range(r.randrange(1, 30))) for _ in range(3)]
+        parts = [own[0], " ".join(r.choice(lines).split()[r.randrange(6) :]), own[1], r.choice(lines), own[2]]
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        rows.append((i, [f"<nav>menu</nav><article>{body}</article><p>after</p>", f"<main>{body}</main>", body][i % 3]))
+    df = spark.createDataFrame([(i, f"http://hot.example/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    got = {x.id: x for x in X.extract(df).collect()}
+    want, plain = shared_words(rows), plain_extract(rows)
+    assert {i: x.host_words for i, x in got.items()} == {i: sum(m) for i, m in want.items()}
+    assert sum(sum(m) for i, m in want.items() if i % 3 == 0) > 100, "runs in articles that markup names are found too"
+    for i, h in rows:
+        assert got[i].text == (text_of(h) if i % 3 < 2 else plain[i])
+        assert got[i].dropped_words == len(want[i]) - len(got[i].text.split())
+
+
+def test_shared_menus_of_named_articles_go(spark):
+    menu = "<ul><li><a href=/1>World news</a></li><li><a href=/2>All of our sports</a></li><li><a href=/3>Weather and maps</a></li></ul>"
+    line = "as the charter of the united nations says in full"
+    title = "<h1><a href=/x>A long title of nine words on each part</a></h1>"
+
+    def page(i, extra=""):
+        return f"<article>{title}{menu}<p>story {i} begins <a href=/y>here</a></p>{extra}<p>{line}</p></article>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(3)]
+    rows += [(3, "http://h.example/3", page(3, "<p><a href=/4>Weather</a> and <a href=/5>maps</a></p><p><a href=/6>My own list of links</a></p>"))]
+    rows += [(9, "http://other.example/9", page(9)), (10, "http://h.example/10", None)]
+    got = {x.id: x for x in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    head = "A long title of nine words on each part"
+    assert {i: got[i].text for i in range(3)} == {i: f"{head} story {i} begins here {line}" for i in range(3)}
+    assert got[3].text == f"{head} story 3 begins here Weather and maps My own list of links {line}"
+    assert got[9].text == f"{head} World news All of our sports Weather and maps story 9 begins here {line}", "one page shares nothing"
+    assert [(got[i].host_words, got[i].dropped_words) for i in (0, 9, 10)] == [(31, 9), (0, 0), (0, 0)], "the title, the menu and a word after it, the line and two words before it"
+
+
 class Plain(HTMLParser):
     """Text inside article, outside asides and elements of class ad, a space at every tag that is not inline."""
 
